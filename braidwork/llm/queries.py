@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir, table
-from . import bpe, merkle, packing, splitting
+from . import bpe, merkle, mojibake, packing, splitting
 
 
 def _limit(spark: SparkSession, d: str, name: str) -> tuple[int, int]:
@@ -61,6 +61,15 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p9_repaired(spark: SparkSession, d: str) -> DataFrame:
+    shared_dir(spark)
+    return mojibake.repair(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_repaired(spark, d).select("doc_id").distinct()
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
@@ -69,6 +78,8 @@ QUERIES = {
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
+    "p9_found": p9_found,
+    "p9_repaired": p9_repaired,
 }
 
 _OVER = r"""greatest(ceil(length(content) / 4.0), ceil(len(list_filter(regexp_split_to_array(content, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) * 1.35))

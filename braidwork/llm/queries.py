@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir, table
-from . import bpe, merkle, mojibake, packing, splitting
+from . import bpe, merkle, mojibake, names, packing, secrets, splitting
 
 
 def _limit(spark: SparkSession, d: str, name: str) -> tuple[int, int]:
@@ -34,6 +34,19 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.where("chunk_index = 0").select("table_name", "item_id").distinct()
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    shared_dir(spark)
+    return names.links(table(spark, d, "entities"), table(spark, d, "nicknames"))
+
+
+def p5_values(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.scan(table(spark, d, "project_files"), table(spark, d, "sources"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_values(spark, d).select("source_id", "line_no").distinct()
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return merkle.copies(_contents(spark, d))
 
@@ -73,6 +86,9 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p5_values": p5_values,
     "p6_found": p6_found,
     "p6_kept": p6_kept,
     "p7_ids": p7_ids,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir, table
-from . import bpe, merkle, mojibake, names, packing, secrets, splitting
+from . import bpe, merkle, mojibake, names, packing, pii, secrets, splitting
 
 
 def _limit(spark: SparkSession, d: str, name: str) -> tuple[int, int]:
@@ -21,6 +21,25 @@ def _contents(spark: SparkSession, d: str, id_name: str = "id") -> DataFrame:
     return one("sources").unionByName(one("context_chunks"))
 
 
+def _texts(spark: SparkSession, d: str) -> tuple[DataFrame, set[str]]:
+    """All texts in which persons' data stands, and the given names of the tables of entities and nicknames."""
+    shared_dir(spark)
+    one = lambda t, c: table(spark, d, t).select(F.lit(t).alias("table_name"), F.col("id").alias("row_id"), F.col(c).alias("content"))
+    texts = one("sources", "content").unionByName(one("context_chunks", "content")).unionByName(one("chat_results", "answer")).where("row_id IS NOT NULL")
+    lexicon = names.learn(table(spark, d, "entities").where("name IS NOT NULL").select("id", "name").distinct(), table(spark, d, "nicknames"))
+    return texts, lexicon.given | set(lexicon.full)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    texts, given = _texts(spark, d)
+    return pii.find(texts, ["table_name", "row_id"], "content", given).select("table_name", "row_id", "kind").distinct()
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    texts, given = _texts(spark, d)
+    return pii.find(texts, ["table_name", "row_id"], "content", given, placeholders=True).groupBy("table_name", "row_id").agg(F.min("redacted").alias("redacted"))
+
+
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     most, overlap = _limit(spark, d, "split_item")
     rows = _contents(spark, d, "item_id").where(splitting.exceeds(F.col("content"), most) & F.col("item_id").isNotNull())
@@ -84,6 +103,8 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_redacted": p2_redacted,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import features
+from . import context, features, relational
 
 
 def flagship_segment_revenue(spark: SparkSession, d: str) -> DataFrame:
@@ -19,9 +19,9 @@ def flagship_segment_revenue(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {"flagship_segment_revenue": flagship_segment_revenue} | features.QUERIES
+QUERIES = {"flagship_segment_revenue": flagship_segment_revenue} | relational.QUERIES | context.QUERIES | features.QUERIES
 ORACLE = {
     "flagship_segment_revenue": """
 SELECT c_mktsegment, count(*) AS n_orders, round(sum(o_totalprice), 2) AS revenue
 FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1 ORDER BY revenue DESC, c_mktsegment"""
-} | features.ORACLE
+} | relational.ORACLE | context.ORACLE | features.ORACLE

@@ -62,14 +62,14 @@ def split(items: DataFrame, key: list[str], text: str, max_tokens: int, overlap_
     Every piece has at most ``max_tokens`` tokens. Its first ``overlap`` characters are the last ones of
     the piece before it: as many whole words as ``overlap_tokens`` tokens hold, or part of a word longer
     than that. What follows the overlap are the cores, which together are the item, unchanged. ``start``
-    is the offset of the piece in the item, in characters.
+    is the offset of the piece in the item, in characters. An overlap of one token holds no word, so it is none.
 
     Row by row, without a shuffle: rows repeated in the input are repeated in the result. Items within the
     limit, empty and null ones give no rows. Needs ``overlap_tokens < max_tokens``. Further columns are
     dropped, whatever their names.
     """
-    if not 0 <= overlap_tokens < max_tokens:
-        raise ValueError("the overlap must be smaller than the limit")
+    if not 0 <= overlap_tokens < max_tokens or max_tokens < 2:
+        raise ValueError("the limit must be 2 at least, as a word has two tokens, and the overlap smaller")
     chars, words = limits(max_tokens)
     back_chars, back_words = limits(overlap_tokens)
     core_chars, core_words = max(1, chars - back_chars), max(1, words - back_words)
@@ -84,7 +84,7 @@ def split(items: DataFrame, key: list[str], text: str, max_tokens: int, overlap_
     rows = rows.withColumn("__at", ends).select(*key, "__t", F.posexplode(F.arrays_zip(F.col("__cores").alias("c"), F.slice("__at", 1, F.size("__cores")).alias("s"))).alias("chunk_index", "__p"))
 
     start, core = F.col("__p.s"), F.col("__p.c")
-    if overlap_tokens:
+    if back_words:
         # one character more than the overlap may have shows whether the first word in it is whole
         window = F.substring(F.col("__t"), F.greatest(start - back_chars, F.lit(1)), F.least(start, F.lit(back_chars + 1)))
         whole = F.regexp_extract(window, rf"(?s)(?<=\s)(?:\S++\s*+){{1,{back_words}}}\z", 0)

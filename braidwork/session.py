@@ -65,6 +65,16 @@ def ship(spark: SparkSession) -> None:
     sc._braidwork_shipped = True
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan for work in Python, with at least a task for each core.
+
+    Small tables in one file come as one partition; only those are shuffled. ``scan`` must hold no shuffle of
+    its own, as its partitions are counted here.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def checked_broadcast(small: DataFrame, limit_rows: int) -> tuple[DataFrame, bool]:
     """``small`` with a broadcast hint if it has at most ``limit_rows`` rows, else without one.
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 # Titles, particles, legal forms.
-TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "professor", "sir", "herr", "frau", "mme", "m"}
+TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "professor", "sir", "herr", "frau", "mme"}
 PARTICLES = {"van", "von", "de", "der", "den", "di", "da", "del", "la", "le", "bin", "al"}
 LEGAL = {
     "inc": "inc", "incorporated": "inc", "corp": "corp", "corporation": "corp", "llc": "llc", "ltd": "ltd", "limited": "ltd",
@@ -39,6 +39,7 @@ _PROJECT = [
     re.compile(r"^(?:project|proj\.?)\s+(.+?)()$"),
 ]
 _TOKEN = re.compile(r"[a-z0-9]+")
+_CAPITALS = re.compile(r"^((?:[^\W\d_a-z]|['’-]){4,})\s+([A-Z]{1,2})$")
 MIN_SUFFIX, COMMON = 5, 200
 
 
@@ -130,6 +131,9 @@ def parse(name: str, lex: Lexicon) -> dict | None:
             core = "".join(_TOKEN.findall(m[1]))
             if core:
                 return part | {"kind": "J", "core": core, "version": m[2]}
+    # a word in capitals and a few letters more: a surname with initials, whatever else the letters may mean
+    if (m := _CAPITALS.match(raw)) and not lex.word(fold(m[1])):
+        return part | {"core": "".join(_TOKEN.findall(fold(m[1]))), "initials": fold(m[2])}
     if (m := _LEGAL_END.search(f)) and (legal := LEGAL.get(m[1].replace(".", ""))):
         part["legal"] = legal
         f = f[: m.start()]
@@ -164,8 +168,6 @@ def parse(name: str, lex: Lexicon) -> dict | None:
         ts = reading(f)
         if len(ts) < 2:
             last, first = ts, []
-        elif re.fullmatch(r"\s*\S{3,}(?:\s\S{3,})*\s+[A-Z]{1,3}\s*", raw) and len(ts[-1]) <= 3 and not lex.is_given(ts[-1]):
-            return part | {"core": "".join(_TOKEN.findall(" ".join(ts[:-1]))), "initials": ts[-1]}
         elif lex.is_given(ts[-1]) and not lex.is_given(ts[0]) and len(ts[0].rstrip(".")) > 1:
             last, first = ts[:-1], ts[-1:]
         else:
@@ -295,6 +297,51 @@ def learn(names: DataFrame, nicknames: DataFrame) -> Lexicon:
     return Lexicon(given - set(whole), nick, sorted(whole))
 
 
+def _parsed(rows: DataFrame, lex: Lexicon) -> DataFrame:
+    """(id, parts) of the rows with a name that can be read."""
+    lexicon = rows.sparkSession.sparkContext.broadcast(lex)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = lexicon.value
+        for b in batches:
+            ids, parts = [], []
+            for i, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                p = parse(n, lex)
+                if p:
+                    ids.append(i)
+                    parts.append(p)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), *(pa.array([p[k] for p in parts], pa.string()) for k in PARTS)], ["id", *PARTS])
+
+    return rows.select("id", "name").mapInArrow(read, "id string, " + ", ".join(f"{k} string" for k in PARTS))
+
+
+def _recurring_nicknames(parsed: DataFrame, lex: Lexicon) -> dict[str, set[str]]:
+    """Nicknames that the table lacks: given names of few letters, unknown so far, that stand beside the same known
+    given name under three surnames or more, and beside no other nearly as often.
+
+    A surname has at most as many different given names as there are, so the pairs of a surname are bounded. What
+    is collected is one row for each nickname that recurs.
+    """
+    known = parsed.sparkSession.createDataFrame([(g,) for g in sorted(lex.given)] or [("",)], "given string")
+    people = parsed.where("kind = 'P' AND given <> ''").select("core", "given").distinct()
+    full = people.join(F.broadcast(known), "given", "left_semi").withColumnRenamed("given", "full")
+    table = parsed.sparkSession.createDataFrame([(n,) for n in sorted(lex.full)] or [("",)], "given string")
+    short = people.join(F.broadcast(known), "given", "left_anti").join(F.broadcast(table), "given", "left_anti").where(F.length("given").between(2, 8))
+    pairs = short.join(full, "core").groupBy("given", "full").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    cores = short.join(full.select("core").distinct(), "core", "left_semi").groupBy("given").agg(F.count(F.lit(1)).alias("cores"))
+    out: dict[str, set[str]] = {}
+    for r in pairs.join(cores, "given").where("n >= 0.6 * cores").collect():
+        out.setdefault(r.given, set()).add(r.full)
+    return {k: v for k, v in out.items() if len(v) == 1}
+
+
+def lexicon_of(rows: DataFrame, nicknames: DataFrame) -> Lexicon:
+    """What ``learn`` finds in rows (id, name), with the nicknames that recur beside full names."""
+    lex = learn(rows, nicknames)
+    more = _recurring_nicknames(_parsed(rows, lex).checkpoint(), lex)
+    return Lexicon(lex.given, {k: lex.full.get(k, set()) | more.get(k, set()) for k in {*lex.full, *more}}, lex.words)
+
+
 def _inside(short: str, long: str) -> bool:
     it = iter(long)
     return all(c in it for c in short)
@@ -348,6 +395,15 @@ def _min_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         state = new.select("node", "label")
 
 
+def _only_one(weak: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edges (a, b) from each group to the one group of full forms that its weak links lead to; to the one group of
+    short forms if they lead to no full one; none where there are several."""
+    ends = weak.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b").where("x <> y")
+    full = F.when(~F.col("short_b"), F.col("y"))
+    one = ends.groupBy("x").agg(F.min(full).alias("lo"), F.max(full).alias("hi"), F.min("y").alias("lo2"), F.max("y").alias("hi2"))
+    return one.where("coalesce(lo = hi, lo2 = hi2)").select(F.col("x").alias("a"), F.coalesce("lo", "lo2").alias("b"))
+
+
 def resolve(entities: DataFrame, nicknames: DataFrame) -> DataFrame:
     """(id, entity): the entity of each row, named by its smallest id.
 
@@ -359,20 +415,9 @@ def resolve(entities: DataFrame, nicknames: DataFrame) -> DataFrame:
     spark = entities.sparkSession
     ship(spark)
     rows = entities.where("id IS NOT NULL AND name IS NOT NULL").groupBy("id").agg(F.min("name").alias("name")).checkpoint()
-    lexicon = spark.sparkContext.broadcast(learn(rows, nicknames))
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = lexicon.value
-        for b in batches:
-            ids, parts = [], []
-            for i, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                p = parse(n, lex)
-                if p:
-                    ids.append(i)
-                    parts.append(p)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), *(pa.array([p[k] for p in parts], pa.string()) for k in PARTS)], ["id", *PARTS])
-
-    parsed = rows.mapInArrow(read, "id string, " + ", ".join(f"{k} string" for k in PARTS)).checkpoint()
+    lex = lexicon_of(rows, nicknames)
+    parsed = _parsed(rows, lex).checkpoint()
+    lexicon = spark.sparkContext.broadcast(lex)
     nodes = parsed.groupBy(*PARTS).agg(F.min("id").alias("node")).checkpoint()
     keys = _keys(nodes).checkpoint()
     side = lambda x: nodes.select(F.col("node").alias(x), *(F.col(k).alias(f"{k}_{x}") for k in PARTS))
@@ -384,7 +429,7 @@ def resolve(entities: DataFrame, nicknames: DataFrame) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = lexicon.value
         for b in batches:
-            a_s, b_s, how, short_a, short_b = [], [], [], [], []
+            a_s, b_s, how, short_a, short_b, new_a, new_b = [], [], [], [], [], [], []
             for r in b.to_pylist():
                 x, y = ({k: r[f"{k}_{s}"] for k in PARTS} for s in "ab")
                 v = agree(x, y, lex)
@@ -394,22 +439,25 @@ def resolve(entities: DataFrame, nicknames: DataFrame) -> DataFrame:
                     how.append(v)
                     short_a.append(is_short(x))
                     short_b.append(is_short(y))
-            types = [pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((a_s, b_s, how, short_a, short_b), types)], ["a", "b", "how", "short_a", "short_b"])
+                    new_a.append(x["given"] not in lex.given)
+                    new_b.append(y["given"] not in lex.given)
+            names = ["a", "b", "how", "short_a", "short_b", "new_a", "new_b"]
+            types = [pa.string(), pa.string(), pa.int32(), *[pa.bool_()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((a_s, b_s, how, short_a, short_b, new_a, new_b), types)], names)
 
-    links = pairs.mapInArrow(compare, "a string, b string, how int, short_a boolean, short_b boolean").checkpoint()
+    links = pairs.mapInArrow(compare, "a string, b string, how int, short_a boolean, short_b boolean, new_a boolean, new_b boolean").checkpoint()
     # full forms first, and short forms that are alike
     strong = links.where("how = 2").select("a", "b")
     labels = _min_labels(nodes, strong)
-    weak = links.where("how = 1").select("a", "b", "short_a", "short_b")
-    weak = weak.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").where("la <> lb")
-    # each group of short forms (or of what may be a nickname) joins the one group of full forms it can mean
-    ends = weak.select(F.col("la").alias("x"), F.col("lb").alias("y"), F.col("short_a").alias("sx"), F.col("short_b").alias("sy")).union(
-        weak.select(F.col("lb").alias("x"), F.col("la").alias("y"), F.col("short_b").alias("sx"), F.col("short_a").alias("sy"))
-    )
-    joins = ends.where("sx = sy OR (sx AND NOT sy)").groupBy("x").agg(F.min(F.when(F.col("sx") & ~F.col("sy"), F.col("y"))).alias("lo"), F.max(F.when(F.col("sx") & ~F.col("sy"), F.col("y"))).alias("hi"), F.min("y").alias("lo2"), F.max("y").alias("hi2"), F.max("sx").alias("s"))
-    joins = joins.select(F.col("x").alias("a"), F.coalesce("lo", "lo2").alias("b"), F.coalesce(F.col("lo") == F.col("hi"), F.col("lo2") == F.col("hi2")).alias("one")).where("one").select("a", "b")
-    final = _min_labels(nodes, strong.union(joins))
+    weak = links.where("how = 1")
+    weak = weak.select("a", "b", "short_a", "short_b", "new_a", "new_b").unionByName(
+        weak.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("short_b").alias("short_a"), F.col("short_a").alias("short_b"), F.col("new_b").alias("new_a"), F.col("new_a").alias("new_b"))
+    ).checkpoint()
+    # then what may be a nickname joins the one group it can mean, and after that each short form
+    nick = _only_one(weak.where("NOT short_a AND NOT short_b AND new_a"), labels)
+    strong = strong.union(nick).checkpoint()
+    short = _only_one(weak.where("short_a"), _min_labels(nodes, strong))
+    final = _min_labels(nodes, strong.union(short))
     whole = parsed.join(nodes, PARTS).join(final, "node").select("id", "label")
     return whole.join(whole.groupBy("label").agg(F.min("id").alias("entity")), "label").select("id", "entity")
 

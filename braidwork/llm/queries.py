@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir, table
+from ..session import shared_dir, spread, table
 from . import bpe, merkle, mojibake, names, packing, pii, secrets, splitting
 
 
@@ -15,18 +15,18 @@ def _limit(spark: SparkSession, d: str, name: str) -> tuple[int, int]:
     return r.max_tokens, r.overlap_tokens
 
 
-def _contents(spark: SparkSession, d: str, id_name: str = "id") -> DataFrame:
-    """Contents of sources and context_chunks under one name, as they stand."""
+def _contents(spark: SparkSession, d: str, id_name: str = "id", python: bool = False) -> DataFrame:
+    """Contents of sources and context_chunks under one name, as they stand; ``python``: for work in Python."""
     one = lambda t: table(spark, d, t).select(F.lit(t).alias("table_name"), F.col("id").alias(id_name), "content")
-    return one("sources").unionByName(one("context_chunks"))
+    return spread(one("sources").unionByName(one("context_chunks"))) if python else one("sources").unionByName(one("context_chunks"))
 
 
 def _texts(spark: SparkSession, d: str) -> tuple[DataFrame, set[str]]:
     """All texts in which persons' data stands, and the given names of the tables of entities and nicknames."""
     shared_dir(spark)
     one = lambda t, c: table(spark, d, t).select(F.lit(t).alias("table_name"), F.col("id").alias("row_id"), F.col(c).alias("content"))
-    texts = one("sources", "content").unionByName(one("context_chunks", "content")).unionByName(one("chat_results", "answer")).where("row_id IS NOT NULL")
-    lexicon = names.learn(table(spark, d, "entities").where("name IS NOT NULL").select("id", "name").distinct(), table(spark, d, "nicknames"))
+    texts = spread(one("sources", "content").unionByName(one("context_chunks", "content")).unionByName(one("chat_results", "answer")).where("row_id IS NOT NULL"))
+    lexicon = names.lexicon_of(table(spark, d, "entities").where("name IS NOT NULL").groupBy("id").agg(F.min("name").alias("name")), table(spark, d, "nicknames"))
     return texts, lexicon.given | set(lexicon.full)
 
 
@@ -67,21 +67,25 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return merkle.copies(_contents(spark, d))
+    return merkle.copies(_contents(spark, d, python=True))
 
 
 def p6_kept(spark: SparkSession, d: str) -> DataFrame:
-    return merkle.collapse(_contents(spark, d))
+    return merkle.collapse(_contents(spark, d, python=True))
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return bpe.encode(table(spark, d, "documents"), "doc_id", "text")
+    return bpe.encode(_documents(spark, d), "doc_id", "text")
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     capacity, _ = _limit(spark, d, "pack_document")
     shared_dir(spark)
-    sizes = bpe.encode(table(spark, d, "documents"), "doc_id", "text", counts_only=True)
+    sizes = bpe.encode(_documents(spark, d), "doc_id", "text", counts_only=True)
     return packing.pack(sizes, "doc_id", "n_tokens", capacity)
 
 
@@ -95,7 +99,7 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_repaired(spark: SparkSession, d: str) -> DataFrame:
     shared_dir(spark)
-    return mojibake.repair(table(spark, d, "documents"), "doc_id", "text")
+    return mojibake.repair(_documents(spark, d), "doc_id", "text")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

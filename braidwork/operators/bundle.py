@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import compress, estimate
 from .retrieval import clamp
@@ -86,10 +87,14 @@ def pack_rows(rows: list[dict], budget: int, query: str) -> list[dict]:
     return sorted(out, key=lambda r: -r["final_score"])
 
 
-def pack(df: DataFrame, budget: int, query: str, query_id: str | None = None) -> DataFrame:
-    """``pack_rows`` for each query over rows (id, type, content, token_estimate, final_score)."""
+def pack(df: DataFrame, budget: int, query: str, query_id: str | None = None, candidates: int = 500) -> DataFrame:
+    """``pack_rows`` for each query over its best ``candidates`` rows (id, type, content, token_estimate, final_score)."""
     qid = query_id or "__q"
-    rows = df if query_id else df.withColumn("__q", F.lit(0))
+    if query_id:
+        rank = F.row_number().over(Window.partitionBy(qid).orderBy(F.desc("final_score"), "id"))
+        rows = df.withColumn("__rank", rank).where(F.col("__rank") <= candidates)
+    else:
+        rows = df.orderBy(F.desc("final_score"), "id").limit(candidates).withColumn("__q", F.lit(0))
     rows = rows.select(qid, "id", "type", "content", "token_estimate", "final_score")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -136,8 +141,7 @@ def build(df: DataFrame, query: str, mode: str | None, budget: int, model: str |
     reasons = plan_mode(df, mode).select("id", "reason")
     rows = packed.join(reasons, "id")
     m = (mode or "general").strip().lower() or "general"
-    cols = "id string, type string, content string, token_estimate int, final_score double, reason string, position int"
-    rows = rows.select(F.col("id").cast("string"), "type", "content", "token_estimate", "final_score", "reason", "position").to(df.sparkSession.createDataFrame([], cols).schema)
+    rows = rows.select("id", "type", "content", "token_estimate", "final_score", "reason", "position")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         items = pdf.sort_values("position").to_dict("records")

@@ -303,7 +303,7 @@ def ctx_mode_plan(t):
     f"""WITH r AS (SELECT vec_id, text, 'vector' AS source, 1.0 AS weight, greatest(0.05, least(1.0, {_COS})) AS norm, {_COS} AS score FROM embeddings JOIN documents ON doc_id = vec_id WHERE label < 6
 UNION ALL SELECT vec_id, text, 'fulltext', 2.2, 1.0, CAST(vec_id % 50 AS DOUBLE) FROM embeddings JOIN documents ON doc_id = vec_id WHERE label > 3),
 k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, vec_id) AS rk FROM r)
-SELECT vec_id AS id, round(sum(weight * norm * (1 + (CAST(list_contains(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), 'planner') AS INTEGER) + CAST(list_contains(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), 'merged') AS INTEGER)) / 2.0) / (60.0 + rk)), 8) AS fused FROM k GROUP BY 1 ORDER BY sum(weight * norm * (1 + (CAST(list_contains(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), 'planner') AS INTEGER) + CAST(list_contains(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), 'merged') AS INTEGER)) / 2.0) / (60.0 + rk)) DESC, id LIMIT 20"""
+SELECT vec_id AS id, round(sum(weight * norm * (1 + (CAST(list_contains(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), 'planner') AS INTEGER) + CAST(list_contains(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), 'merged') AS INTEGER)) / 2.0) / (60.0 + rk)), 8) AS fused FROM k WHERE rk <= 500 GROUP BY 1 ORDER BY sum(weight * norm * (1 + (CAST(list_contains(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), 'planner') AS INTEGER) + CAST(list_contains(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), 'merged') AS INTEGER)) / 2.0) / (60.0 + rk)) DESC, id LIMIT 20"""
 )
 def ctx_rrf(t):
     rows = t("embeddings").join(t("documents").select("doc_id", "text"), c("vec_id") == c("doc_id"))

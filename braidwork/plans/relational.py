@@ -85,11 +85,11 @@ def cast_types(t):
     return t("orders").select("o_orderkey", c("o_orderkey").cast("string").alias("s"), c("o_orderkey").cast("double").alias("d"), c("o_orderdate").cast("date").alias("day"), c("o_orderkey").cast("string").cast("bigint").alias("b"), F.lit("true").cast("boolean").alias("t"))
 
 
-@query("SELECT id, user_id, row_number() OVER (ORDER BY user_id ASC NULLS LAST, id) AS up, row_number() OVER (ORDER BY user_id DESC NULLS FIRST, id) AS down FROM (SELECT id, min(user_id) AS user_id FROM entities GROUP BY id)")
+@query("WITH e AS (SELECT id, min(user_id) AS user_id FROM entities GROUP BY id) SELECT * FROM (SELECT 'up' AS direction, id, user_id FROM e ORDER BY user_id ASC NULLS LAST, id LIMIT 200) UNION ALL SELECT * FROM (SELECT 'down', id, user_id FROM e ORDER BY user_id DESC NULLS FIRST, id LIMIT 200)")
 def sort_nulls(t):
     rows = t("entities").groupBy("id").agg(F.min("user_id").alias("user_id"))
-    # a rank over all rows is what is checked here; in a query the order alone would be a range-partitioned sort
-    return rows.select("id", "user_id", F.row_number().over(Window.orderBy(F.asc_nulls_last("user_id"), "id")).alias("up"), F.row_number().over(Window.orderBy(F.desc_nulls_first("user_id"), "id")).alias("down"))
+    first = lambda name, order: rows.orderBy(order, "id").limit(200).select(F.lit(name).alias("direction"), "id", "user_id")
+    return first("up", F.asc_nulls_last("user_id")).union(first("down", F.desc_nulls_first("user_id")))
 
 
 @query("SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier ORDER BY s_nationkey ASC NULLS LAST, s_acctbal DESC NULLS FIRST, s_suppkey LIMIT 50")

@@ -139,10 +139,10 @@ def _components(pairs: DataFrame) -> DataFrame:
 SALT = 16
 
 
-def _with_first(rows: DataFrame, firsts: DataFrame, on: list[str]) -> DataFrame:
-    """Inner join of rows with one row for each group, hot groups spread over several tasks."""
+def _with_first(rows: DataFrame, firsts: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join of rows with one row for each group, hot groups spread over several tasks."""
     spread = firsts.withColumn("__s", F.explode(F.array(*[F.lit(i) for i in range(SALT)])))
-    return rows.withColumn("__s", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).join(spread, [*on, "__s"]).drop("__s")
+    return rows.withColumn("__s", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).join(spread, [*on, "__s"], how).drop("__s")
 
 
 def copies(records: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
@@ -163,13 +163,15 @@ def copies(records: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
     records = records.select("table_name", "id", "content").where("id IS NOT NULL AND content IS NOT NULL")
     nodes = records.mapInArrow(_digests, "table_name string, id string, l string, f string")
     nodes = nodes.groupBy("table_name", "id").agg(F.min(F.struct("l", "f")).alias("d")).select("table_name", "id", "d.*").checkpoint()
-    by_l = nodes.groupBy("table_name", "l").agg(F.min("f").alias("f"), (F.min("f") != F.max("f")).alias("mixed"))
+    # only digests that stand more than once are joined back; all other rows have their key already
+    by_l = nodes.groupBy("table_name", "l").agg(F.min("f").alias("f0"), (F.min("f") != F.max("f")).alias("mixed"), F.count(F.lit(1)).alias("n")).where("n > 1").checkpoint()
     if by_l.where("mixed").limit(1).count():
         keys = _components(nodes.where("f IS NOT NULL").select("table_name", "l", "f").distinct())
-        by_l = by_l.join(keys, ["table_name", "l"], "left").select("table_name", "l", F.coalesce("key", "l").alias("key"))
-        keyed = _with_first(nodes, by_l, ["table_name", "l"])
+        # every digest of fields takes part, as a mixed one may link several
+        own = nodes.select("table_name", "l").distinct().join(keys, ["table_name", "l"], "left").select("table_name", "l", F.coalesce("key", "l").alias("key"))
+        keyed = _with_first(nodes, own, ["table_name", "l"])
     else:
-        keyed = _with_first(nodes, by_l.select("table_name", "l", F.coalesce("f", "l").alias("key")), ["table_name", "l"])
+        keyed = _with_first(nodes, by_l.select("table_name", "l", "f0"), ["table_name", "l"], "left").withColumn("key", F.coalesce("f0", "f", "l")).drop("f0")
     keyed = keyed.checkpoint()
     groups = keyed.groupBy("table_name", "key").agg(F.min("id").alias("kept_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = _with_first(keyed, groups, ["table_name", "key"]).checkpoint()

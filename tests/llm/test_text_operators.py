@@ -211,3 +211,19 @@ def test_wrong_encodings(spark):
     assert fixed[1000] == (CLEAN[0], True) and fixed[1001][0] == CLEAN[4] and fixed[1002][0] == CLEAN[2] and fixed[1003][0].endswith(CLEAN[1]) and not fixed[2003][1]
     assert mojibake.repair(df.where("doc_id > 2000 AND doc_id < 2003"), "doc_id", "text").count() == 0
     assert mojibake.repair(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_damage_beside_clean_cjk(spark):
+    """One token holds damage and clean text: docs 288, 5513, 7534 and 8092 of sf0.1."""
+    ja = ["Lanternfallの索引を2768件分だけ作り直しました。", "要約が空の場合は次の候補を使います。", "遅れて届いた記録も集計に含めます。", "長い文書は小さな段に分けて保存します。"]
+    zh = ["检索结果与上次的顺序不同。", "图中有3582条没有权重的边。", "Saltmarch的索引在1828毫秒内完成重建。", "过期的记忆将在10天后归档。"]
+    rows = [(i, (ja + zh)[i % 8]) for i in range(320)]
+    wrong = {
+        288: (ja[0].encode("euc-jp").decode("latin-1") + ja[1], ja[0] + ja[1]),
+        5513: (zh[0].encode("gb2312").decode("latin-1") + zh[1], zh[0] + zh[1]),
+        7534: ("".join(chr(b) if b in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else bytes([b]).decode("cp1252") for b in ja[2].encode()) + ja[3], ja[2] + ja[3]),
+        8092: (zh[2].encode("gb2312").decode("latin-1") + zh[3], zh[2] + zh[3]),
+    }
+    assert wrong[288][0].startswith("Lanternfall¤Îº÷°ú¤ò2768") and wrong[5513][0].startswith("¼ìË÷½á¹û")
+    df = spark.createDataFrame(rows + [(k, v[0]) for k, v in wrong.items()], "doc_id bigint, text string")
+    assert {r.doc_id: r.restored for r in mojibake.repair(df, "doc_id", "text").collect()} == {k: v[1] for k, v in wrong.items()}

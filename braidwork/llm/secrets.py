@@ -23,25 +23,38 @@ from pyspark.sql import functions as F
 
 from ..session import checked_broadcast, ship
 
-#: The most frequent words of the corpus make the dictionary, as many as this, each in so many rows.
+#: The most frequent words of the corpus make the dictionary, as many as this, each in so many different texts.
 DICTIONARY, WORD_ROWS = 40_000, 3
 
 _WORDS = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{3,}(?![a-z])")
+# Long literals of letters and digits: keys, hashes, ids. What letters stand in them are no words.
+_LITERAL = re.compile(r"(?i:\b[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\b)|(?=[A-Za-z+=]*[0-9])(?=[0-9+=]*[A-Za-z])[A-Za-z0-9+=]{12,}")
+
+
+def _words(text: str) -> set[str]:
+    return {w.lower() for w in set(_WORDS.findall(text)) if len(w) <= 20}
 
 
 def word_counts(df: DataFrame, text: str) -> dict[str, int]:
-    """The dictionary: in how many rows each of the most frequent words stands, over all rows."""
+    """The dictionary: in how many different texts each of the most frequent words stands outside long literals.
+
+    Letters that stand inside long literals in more texts than outside are no word, however many texts there are.
+    """
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found: Counter[str] = Counter()
+            inside: Counter[str] = Counter()
             for t in b.column(0).to_pylist():
-                found.update({w.lower() for w in set(_WORDS.findall(t)) if len(w) <= 20})
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+                found.update(_words(_LITERAL.sub(" ", t)))
+                inside.update(_words(" ".join(_LITERAL.findall(t))))
+            every = list(found | inside)
+            yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *(pa.array([c[w] for w in every], pa.int64()) for c in (found, inside))], ["word", "n", "inside"])
 
-    words = df.select(text).where(F.col(text).isNotNull()).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return {r.word: r.n for r in words.where(F.col("n") >= WORD_ROWS).orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()}
+    texts = df.select(text).where(F.col(text).isNotNull()).distinct()
+    words = texts.mapInArrow(run, "word string, n bigint, inside bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside"))
+    return {r.word: r.n for r in words.where((F.col("n") >= WORD_ROWS) & (F.col("n") >= F.col("inside"))).orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()}
 
 
 class Segmenter:
@@ -51,7 +64,8 @@ class Segmenter:
 
     def __init__(self, counts: dict[str, int]) -> None:
         total = sum(counts.values()) + 1
-        self.cost = {w: min(11.0, 1.0 + math.log(total / n)) for w, n in counts.items()}
+        # words of three or four letters also turn up by chance: rare ones cost what they are rare, up to more than unknown letters
+        self.cost = {w: 1.0 + math.log(total / n) if len(w) < 5 else min(11.0, 1.0 + math.log(total / n)) for w, n in counts.items()}
         self.longest = max(map(len, counts), default=0)
 
     def residual(self, literal: str) -> int:

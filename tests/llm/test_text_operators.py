@@ -152,6 +152,22 @@ def test_segmenter():
     assert s.residual("weight-store-242") == 0 and s.residual("xQ9zK2vL8") >= 8
 
 
+def test_letters_of_secrets_are_no_words(spark):
+    """However many keys a corpus holds, their trigrams explain no other key."""
+    rng = random.Random(5)
+    key = lambda: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(32))
+    prose = "the token store has max weight"
+    texts = [prose + "\n" + "\n".join(f'"{key()}"' for _ in range(1200)) for _ in range(60)]
+    texts += [texts[0]] * 5 + ["qzx only in copies"] * 9
+    counts = secrets.word_counts(spark.createDataFrame([(t,) for t in texts], "content string"), "content")
+    assert set(prose.split()) <= set(counts) and "qzx" not in counts and sum(len(w) == 3 for w in counts) < 50
+    words = secrets.Segmenter(counts)
+    assert min(words.residual(key()) for _ in range(300)) >= 20 and words.residual("max-weight-store") == 0
+    # a dictionary with chance trigrams, each in three of a million texts
+    chance = {a + b + c: 3 for a in "bcdfghjk" for b in "aeiou" for c in "lmnpqrst"}
+    assert secrets.Segmenter(chance | {"the": 900_000, "token": 900_000}).residual("Bal9Dem7Gip3Kot5") >= 14
+
+
 # -- personal information ---------------------------------------------------------------------------------------
 
 FILLER = ["reviewed by the planner on monday and moved the sources", "please call the service about the invoice and signed form", "deliver the badge before friday at the desk street number", "the export holds many rows reachable at owner record"] * 6

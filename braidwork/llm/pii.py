@@ -55,6 +55,11 @@ _COMPOUND_WORDS = ["straße ", "strasse ", " box ", "weg ", "platz ", "gasse "]
 _STREET_WORDS = [" street", " st", " road", " rd", " ave", " lane", " ln", " close", " way", " dr", " blvd", " boulevard", " court", " ct", " pl", " sq", " terrace", " crescent", " rue ", *_COMPOUND_WORDS]
 _NAME_TOKEN = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*\.?")
 SHORT_WORDS = set("by to on in is at of or as if an no do go up us we me my it so be he am id ok vs".split())
+#: Words that are nobody's surname.
+FUNCTION_WORDS = SHORT_WORDS | set(
+    "the and for not but nor are was were has had have with from that this these those than then they them their there here his her its our your you she who whom whose what which when where why how all any each every some "
+    "can could may might must shall should will would did does done been being into onto over under about after before because while until unless only also very just more most less such per via und der die das les des est une".split()
+)
 TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "professor", "herr", "frau", "mme"}
 
 
@@ -74,6 +79,13 @@ def _every(text: str, part: str) -> Iterator[int]:
         i = text.find(part, i + 1)
 
 
+_TOKEN = re.compile(r"[^\W\d_]+")
+# The word behind a given name or title, with initials, particles or a nickname in quotes between; the one before it; initials.
+_AFTER = re.compile(rf"""\.?[ \t\n]{{1,3}}(?:(?:[^\W\d_]\.?|{'|'.join(sorted(PARTICLES))}|["“][^\W\d_]+["”])\s){{0,2}}([^\W\d_]{{2,40}})(?![\w@])""")
+_BEFORE_GIVEN = re.compile(r"(?<![\w@])([^\W\d_]{2,40})(?:,?[ \t]{1,3}|,[ \t]?\n)\Z")
+_DOTTED = re.compile(r"(?<![\w.])[A-Z]\.(?=\s[A-Z])")
+
+
 def words(low: str) -> set[str]:
     """The different words of a lower-case text: runs of three letters and more."""
     if low.isascii():
@@ -157,13 +169,15 @@ class Tagger:
 
     def _names(self, text: str, low: str, out: set[tuple[int, int, str]]) -> None:
         rare = {w for w in words(low) - self.common if len(w) >= 4}
-        if not rare:
+        beside = self._beside(text, low)
+        if not rare and not beside:
             return
+        spans = {w.span() for w in _WORD.finditer(low) if w[0] in rare} if rare else set()
         done = -1
-        for w in _WORD.finditer(low):
-            if w[0] not in rare or w.start() < done:
+        for s, e in sorted(spans | beside):
+            if s < done:
                 continue
-            s, e = w.span()
+            weak = (s, e) not in spans
             # the whole token, with its hyphens
             while s and (low[s - 1].isalpha() or low[s - 1] in "-'’" and s > 1 and low[s - 2].isalpha()):
                 s -= 1
@@ -176,7 +190,7 @@ class Tagger:
                 continue
             before = [(m.start() + max(0, s - 60), m[0]) for m in _NAME_TOKEN.finditer(low[max(0, s - 60) : s])]
             after = [(m.start() + e, m.end() + e, m[0]) for m in _NAME_TOKEN.finditer(low[e : e + 48])]
-            starts, at = [s], s
+            starts, at, sure = [s], s, False
             for b, t in reversed(before[-4:]):
                 gap = low[b + len(t) : at]
                 if gap.strip(" \t\"“”") or len(gap) > 4 or "\n" in gap and gap.count("\n") > 1:
@@ -184,7 +198,9 @@ class Tagger:
                 bare = t.rstrip(".")
                 if bare in TITLES or bare in PARTICLES or fold(bare) in self.given or len(bare) == 1 or bare not in self.common and t[-1] != ".":
                     at = b
-                    starts.append(b)
+                    sure = sure or fold(bare) in self.given or bare in TITLES or len(bare) == 1 and t[-1] == "."
+                    if sure or not weak:
+                        starts.append(b)
                 else:
                     break
             ends = [e]
@@ -198,13 +214,36 @@ class Tagger:
                         ends.append(stop)
                         if m := re.match(r"\s[a-z]\.(?!\w)", low[stop:]):
                             ends.append(stop + m.end())
+                    elif weak:
+                        pass  # a common or short word needs a given name
                     elif len(bare) <= 2 and bare not in SHORT_WORDS and text[b:c].rstrip(".").isupper():
                         ends.append(b + len(bare))
                     elif len(bare) == 1 and t[-1] == "." and "," in gap:
                         ends.append(c)
             for x in starts:
                 for y in ends:
-                    out.add((x, y, "NAME"))
+                    if not weak or x < s or y > e:
+                        out.add((x, y, "NAME"))
+
+    def _beside(self, text: str, low: str) -> set[tuple[int, int]]:
+        """Where words stand that are surnames only by the given name, title or initial beside them, however common or short."""
+        tokens = set(low.translate(_LETTERS_ONLY).split()) if low.isascii() else set(_TOKEN.findall(low))
+        first = {t for t in tokens if t in self.given or t in TITLES or not t.isascii() and fold(t) in self.given}
+        out: set[tuple[int, int]] = set()
+
+        def add(m: re.Match[str] | None, lower_too: bool) -> None:
+            if m and m.end(1) - m.start(1) > 1 and m[1] not in FUNCTION_WORDS and m[1] not in TITLES and (lower_too or text[m.start(1)].isupper()):
+                out.add(m.span(1))
+
+        if first:
+            for f in re.finditer(rf"(?<![^\W\d_])(?:{'|'.join(map(re.escape, sorted(first, key=len, reverse=True)))})(?![^\W\d_])", low):
+                add(_AFTER.match(low, f.end()), f[0] not in TITLES)
+                if f[0] not in TITLES:
+                    add(_BEFORE_GIVEN.search(low, max(0, f.start() - 44), f.start()), False)
+        if "." in low:
+            for f in _DOTTED.finditer(text):
+                add(_AFTER.match(low, f.end() - 1), False)
+        return out
 
     # -- features ---------------------------------------------------------------------------------------
     def features(self, text: str, low: str, seg: tuple[int, int, str]) -> list[str]:
@@ -331,7 +370,8 @@ class Tagger:
 
 # -- training ---------------------------------------------------------------------------------------------
 # What the made-up sentences are made of. Slots: {N} name, {E} address for mail, {P} phone, {I} identity number, {A} address,
-# {x} a product-like word, {n} a small number, {R} a rare word that is no name, {B} a number of a thing.
+# {x} a product-like word, {n} a small number, {R} a rare word that is no name, {B} a number of a thing,
+# {G} a given name that is a word here, {C} a common word.
 WITH = """Reviewed by {N} on 2024-03-02.|According to {N} the export holds {n} rows.|Signed, {N}|requester: {N}|name={N}; status=open|owner={N}, team=blue|"author": "{N}"
 maintained by {N} <{E}>|Met with {N} at {A} to plan {x}.|Owner of the record is {N}, reachable at {E}.|Please call {N} on {P} about the {x} invoice.|{N} asked why {x} was slow.|ask {N} whether {x} may be switched off
 New contact: {N} / {E} / {P}|Tax file {I} belongs to {N}.|The parcel label read: {N}, {A}.|cc {E}, thanks.|Reply went to {E} and was never opened.|Ring {P} after hours, otherwise write to {E}.|Callback number: {P}
@@ -342,7 +382,16 @@ WITHOUT = """Batch {B} was replayed twice.|Invoice {B} was matched by {x}.|Compa
 The checksum 7609{n} belongs to {x}.|The checksum {R} belongs to {x}.|Handle @{x} and tag #{n} are reserved.|Use p@6 and n@3842 as the two metrics.|Suite 15 of the {x} tests covers the layouts.|Lane 4 of the queue feeds {x}, lane 3 feeds {x}.|Street, lane and avenue are stop words in {x}.|redis://svc:Pw9xx@cache.{x}.example:8080/db
 Dr. is expanded to doctor by {x}, rule {n}.|Mark the chunk as stale once {x} has moved on.|Frank feedback on {x} was collected in {n} forms.|Grace period for {x} is {n} days.|On 2024-05-10, the step pinned {n} rows in 2850 ms.|version {n}.{n}.{n} of {x}|ticket CQ00000{n}1234 by {R}|The {R} parser failed.|set {R} to {n}
 const {R} = {n};|{R}_{n} = load({n})|see {R}.{x} for more|order {B} shipped|serial {B}|timestamp {T}|epoch={T}|{n} retries on the way|{n} rows took the long way, {x} said|In {n} ms the drive was full|rows affected: {B}|file {R}.txt|{R} {R} {R}|run {R} again|key={R}{n}|{x} asked why it was slow.|Signed, {x}|belongs to {x}.|matched by {x}
-Penny-wise tuning of {x} saved {n} ms.|Art, maps and diagrams of {x} live in folder {n}.|Court {x} early: it has {n} notes.|The step by {R} was slow.|a {R} of {x}|{h},{D},{h},{h},{D},{D},{h}|{R}{n}:{h},{D},{h},{D}|{D}, {D}, {h}|values ({D}, {D}, {n})|"opened": "2024-01-214"|ALTER ROLE app3 {R} BY "x9"|SELECT {R}, {R} FROM {R}_{n}|export {R}={n}|def {R}(rows):|import {R}|{R} {R} = {n}|{x} and {R} were merged.""".replace("\n", "|").split("|")
+Penny-wise tuning of {x} saved {n} ms.|Art, maps and diagrams of {x} live in folder {n}.|Court {x} early: it has {n} notes.|The step by {R} was slow.|a {R} of {x}|{h},{D},{h},{h},{D},{D},{h}|{R}{n}:{h},{D},{h},{D}|{D}, {D}, {h}|values ({D}, {D}, {n})|"opened": "2024-01-214"|ALTER ROLE app3 {R} BY "x9"|SELECT {R}, {R} FROM {R}_{n}|export {R}={n}|def {R}(rows):|import {R}|{R} {R} = {n}|{x} and {R} were merged.
+{G} {C} at {n} is what {x} reports, not {C} at {n}.|{G} {C} of {x} was {n}.|In {n} ms. {G} {C} grew by {n}.|The step kept {G} {C} low.|set {G} {C} to {n}|{G} {C}: {n}|- {G} {C}|{G} {C} and {C} of {x} are kept.|In short, {G} {C} fell. {G} {C} rose.|## {C} {G} the {C} of {x} rise?|{C} {G} a {C} still take {n}?""".replace("\n", "|").split("|")
+
+
+#: Surnames that are short, or that are common words and known as such in training.
+COMMON_SURNAMES = "Kim Lee Cox Ng Li Fox May Brown Short Stone Field Banks Price Rivers Marsh Bell Cook Page".split()
+
+
+#: Common words that stand behind words which are also given names.
+PLAIN_WORDS = "engine cache planner sources step rows order report filter form version serial batch queue record feedback rules layouts notes".split()
 
 
 def _made_up(rng: random.Random, given: list[str]) -> tuple[str, list[tuple[int, int, str]]]:
@@ -350,6 +399,8 @@ def _made_up(rng: random.Random, given: list[str]) -> tuple[str, list[tuple[int,
     syllables = lambda k: "".join(pick("bdfghjklmnprstvz") + pick("aeiou") for _ in range(k))
 
     def surname() -> str:
+        if rng.random() < 0.12:
+            return pick(COMMON_SURNAMES)
         s = (syllables(rng.randint(2, 4)) + pick(["", "n", "r", "sk", "rt", "ck", "th", "l", "x", "nd", "m"])).capitalize()
         return pick([s] * 6 + [s + "-" + syllables(3).capitalize(), "van " + s, "Ó" + s])
 
@@ -382,7 +433,9 @@ def _made_up(rng: random.Random, given: list[str]) -> tuple[str, list[tuple[int,
         return pick([a] * 6 + [a.lower(), a.upper()])
 
     word = syllables(rng.randint(2, 4))
+    spelt = pick([str.lower, str.capitalize, str.capitalize, str.upper, str.swapcase])
     make = {
+        "G": (lambda: spelt(pick(given)), ""), "C": (lambda: pick([str.lower, str.lower, spelt])(pick(PLAIN_WORDS)), ""),
         "N": (name, "NAME"), "E": (mail, "EMAIL"), "P": (phone, "PHONE"), "I": (ident, "ID_NUMBER"), "A": (address, "ADDRESS"), "x": (lambda: pick(["Kilnworth", "Foxhall", "engine", "cache"]), ""), "n": (lambda: str(rng.randint(2, 4000)), ""),
         "R": (lambda: pick([word, word.capitalize(), word.upper(), word + word]), ""), "B": (lambda: pick([f"{d(4)}-{d(3)}-{d(2)}", f"2024-{d(4)}-{d(3)}", f"{d(4)}.{d(2)}.{d(1)}", d(5), f"{d(3)}-{d(3)}-{d(2)}", f"2024-{d(3)}-{d(3)}"]), ""), "T": (lambda: f"1718{d(7)}", ""),
         "D": (lambda: f"{pick('123456789')}{d(pick([7, 8, 9, 10]))}", ""), "h": (lambda: pick([f"{d(4)}a{d(2)}fe{d(1)}", f"de{d(7)}", f"{d(3)}{pick('abcdef')}{d(6)}"]), ""),
@@ -410,6 +463,7 @@ def train(common: set[str], given: set[str], seed: int = 11) -> dict[str, float]
     """Weights of the features, by AdaGrad on the conditional likelihood."""
     rng = random.Random(seed)
     frequent = {w for s in WITH + WITHOUT for w in _WORD.findall(lower(s))} | {"kilnworth", "foxhall", "engine", "cache", "five"} | {"old", "new", "little", "hollow", "planner", "moved", "several", "sources", "step", "slow", "later", "stopped", "user"}
+    frequent |= {w.lower() for w in COMMON_SURNAMES if len(w) > 3} | set(PLAIN_WORDS)
     tagger = Tagger(frequent | {w for w in common if len(w) < 4}, given)
     first = sorted(g for g in given if g.isalpha()) or ["maria", "peter", "robert"]
     data = [_made_up(rng, first) for _ in range(SENTENCES)]
@@ -425,7 +479,7 @@ def train(common: set[str], given: set[str], seed: int = 11) -> dict[str, float]
 
 
 def common_words(texts: DataFrame, text: str, share: float, least: int) -> set[str]:
-    """Words that stand in at least that share of all rows; there are no more than words of a row, by the share."""
+    """Words that stand in at least that share of the rows given; there are no more than words of a row, by the share."""
     ship(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -447,7 +501,7 @@ def common_words(texts: DataFrame, text: str, share: float, least: int) -> set[s
     return {r.word for r in counts.where((F.col("n") >= max(least, share * rows)) & (F.col("word") != "")).select("word").collect()}
 
 
-#: A word in at least this share of all rows, and in so many, is common.
+#: A word in at least this share of all different texts, and in so many, is common.
 COMMON_SHARE, COMMON_LEAST = 0.002, 12
 
 
@@ -462,7 +516,7 @@ def find(texts: DataFrame, key: list[str], text: str, given: set[str], placehold
     spark = texts.sparkSession
     ship(spark)
     full = texts.where(F.col(text) != "")
-    common = common_words(full, text, COMMON_SHARE, COMMON_LEAST)
+    common = common_words(full.select(text).distinct(), text, COMMON_SHARE, COMMON_LEAST)
     shared = spark.sparkContext.broadcast((common, given, train(common, given)))
     rows = (texts if placeholders else full).select(*key, text)
     n = len(key)

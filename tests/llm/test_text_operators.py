@@ -187,6 +187,16 @@ def test_personal_information(spark):
     assert pii.find(df.limit(0), ["row_id"], "content", given).count() == 0
 
 
+def test_frequent_and_short_surnames(spark):
+    """A surname in a third of the rows, short ones and common words; the words alone are no names."""
+    given = {"maria", "robert", "grace", "peter", "harold", "mark"}
+    rows = [(f"f{i}", f"{t} {i}") for i, t in enumerate(FILLER * 2)] + [(f"h{i}", f"Reviewed by Maria Telokanife on 2024-03-{i:02}.") for i in range(1, 29)]
+    rows += [(f"w{i}", f"the export has {w} rows in the period, said the planner {i}") for i in range(15) for w in ("brown", "short")]
+    rows += [("a", "Signed, Robert Kim"), ("b", "requester: Brown, Maria"), ("c", "owner: Dr. Short"), ("d", "ask Peter Ng about the invoice"), ("e", "name=maria brown; status=open"), ("g", "Mark the chunk as stale once the planner moved"), ("i", "The grace period is short")]
+    got = {r.row_id for r in pii.find(spark.createDataFrame(rows, "row_id string, content string"), ["row_id"], "content", given).collect() if r.kind == "NAME"}
+    assert {i for i in got if i[0] not in "fw"} == {f"h{i}" for i in range(1, 29)} | {"a", "b", "c", "d", "e"} and not [i for i in got if i[0] in "fw"]
+
+
 def test_crf_on_held_out_sentences():
     given = {"maria", "robert", "grace", "peter", "harold", "anna"}
     weights = pii.train(set(), given)

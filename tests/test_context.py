@@ -150,3 +150,12 @@ def test_streams(spark, tmp_path):
     seen = []
     stream.hand_on(stream.stream(spark, str(tmp_path / "in"), df.schema), lambda b, i: seen.append(b.count()), str(tmp_path / "cp")).awaitTermination(120)
     assert sum(seen) == 40
+
+
+def test_fusion_ranks_whole_lists(spark):
+    """An item high in one list and below 500 in the other keeps both terms."""
+    rows = [(source, i, "T", "c", float(i if source == "vector" else 1300 - i) / 1300) for source in ("vector", "fulltext") for i in range(1, 1201)]
+    got = {r.id: r.fused for r in retrieval.fuse(spark.createDataFrame(rows, "source string, id int, type string, content string, score double"), None, 1200).collect()}
+    assert len(got) == 1200
+    for i in got:
+        assert got[i] == pytest.approx(max(0.05, i / 1300) / (60 + 1201 - i) + 2.2 / (60 + i))

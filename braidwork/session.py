@@ -7,7 +7,8 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -52,9 +53,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application; on one machine they have it already."""
+    """Send this package to the Python workers, once per application; workers of one machine may have been started
+    from another folder and need it as well."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or getattr(sc, "_braidwork_shipped", False):
+    if getattr(sc, "_braidwork_shipped", False):
         return
     root = Path(__file__).resolve().parent
     to = os.path.join(tempfile.mkdtemp(prefix="braidwork-"), "braidwork_package.zip")
@@ -75,12 +77,43 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
-def checked_broadcast(small: DataFrame, limit_rows: int) -> tuple[DataFrame, bool]:
-    """``small`` with a broadcast hint if it has at most ``limit_rows`` rows, else without one.
+#: A table is broadcast if its rows take at most so many bytes.
+BROADCAST_BYTES = 48 << 20
 
-    The count is an action over the small side only, so the check never reads the large one.
-    """
-    from pyspark.sql import functions as F
 
-    few = small.limit(limit_rows + 1).count() <= limit_rows
+def _width(name: str, kind: str) -> Column:
+    """About the bytes of a value in memory."""
+    c = F.col(f"`{name}`")
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 24
+    return F.coalesce(F.size(c), F.lit(0)) * 8 + 32 if kind.startswith(("array", "map")) else F.lit(16)
+
+
+def size_in_memory(df: DataFrame) -> int:
+    """About the bytes that all rows take in memory, by one aggregate over them."""
+    width = F.lit(16)
+    for name, kind in df.dtypes:
+        width = width + _width(name, kind)
+    return df.agg(F.sum(width.cast("bigint"))).first()[0] or 0
+
+
+def checked_broadcast(small: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """``small`` with a broadcast hint if its rows take at most ``limit_bytes``, else without one, for a join by shuffle.
+
+    The check is an aggregate over the small side alone, so it never reads the large one. It is made at each call,
+    as a side that is small today may have grown.
+    """
+    few = size_in_memory(small) <= limit_bytes
     return (F.broadcast(small) if few else small), few
+
+
+def once(rows: DataFrame, key: list[str], value: str, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``key`` and ``value`` with one row for each key: that with the smallest value where a key is repeated.
+
+    Only the keys are shuffled, to see which are repeated. Values of repeated keys alone meet in an aggregate that
+    combines before its shuffle; all others pass through where they are, as long as the repeated keys fit a broadcast.
+    """
+    rows = rows.select(*key, value)
+    again, _ = checked_broadcast(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(*key), limit_bytes)
+    single = rows.join(again, key, "left_anti").select(*key, value)
+    return single.unionByName(rows.join(again, key, "left_semi").groupBy(*key).agg(F.min(value).alias(value)).select(*key, value))

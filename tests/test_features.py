@@ -10,8 +10,8 @@ SCHEMA = "id string, user_id string, event_type string, action string, propertie
 T0 = dt.datetime(2024, 1, 1)
 
 
-def row(i, user, kind, ts, props=None, action="x"):
-    return (i, user, kind, action, props, None, ts, ts, "clash", "clash", "clash")
+def row(i, user, kind, ts, props=None, action="x", arrived=None):
+    return (i, user, kind, action, props, None, ts, arrived or ts, "clash", "clash", "clash")
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +22,7 @@ def types(spark):
 def brute(rows, lo=None, hi=None):
     known = {"AONE": "A_ONE", "BTWO": "B_TWO"}
     out, seen = defaultdict(lambda: [0, None]), set()
-    for r in rows:
+    for r in sorted(rows, key=lambda r: r[6] or T0):
         k = known.get("".join(c for c in (r[2] or "") if c.isalnum()).upper())
         if r[0] is None or not r[1] or k is None or r[6] is None or r[0] in seen:
             continue
@@ -60,13 +60,48 @@ def test_only_changed_buckets_are_recomputed(spark, types, tmp_path):
     store = EntityFeatures(spark, str(tmp_path / "s"))
     assert len(store.refresh(spark.createDataFrame(rows, SCHEMA), types)) == 9
     assert store.refresh(spark.createDataFrame(rows, SCHEMA), types) == []
-    more = [*rows, row("late", "v", "B_TWO", T0 + dt.timedelta(days=30))]
+    more = [*rows, row("late", "v", "B_TWO", T0 + dt.timedelta(days=30), arrived=T0 + dt.timedelta(days=61))]
     assert len(store.refresh(spark.createDataFrame(more, SCHEMA), types)) == 1
     assert got(store.features()) == brute(more)
-    assert store.refresh(spark.createDataFrame(rows[:-8], SCHEMA), types)
+    more.append(row("same time", "v", "B_TWO", T0 + dt.timedelta(days=3), arrived=T0 + dt.timedelta(days=61)))
+    assert store.refresh(spark.createDataFrame(more, SCHEMA), types) == [dt.date(2024, 1, 1)]
+    assert got(store.features()) == brute(more)
+    assert store.refresh(spark.createDataFrame(rows[:-8], SCHEMA), types, audit=True)
     assert got(store.features()) == brute(rows[:-8])
 
 
+def test_copies_in_several_buckets_count_once(spark, types, tmp_path):
+    rows = [row(f"e{i}", "u", "A_ONE", T0 + dt.timedelta(days=3 * i)) for i in range(20)]
+    twice = [*rows, row("e4", "u", "A_ONE", T0 + dt.timedelta(days=40))]
+    store = EntityFeatures(spark, str(tmp_path / "a"))
+    store.refresh(spark.createDataFrame(twice, SCHEMA), types)
+    assert got(store.features()) == brute(twice)
+    # a copy that arrives later, and lies before the one that was counted
+    late = dt.timedelta(days=100)
+    for i, (k, day) in enumerate([(19, 1), (3, 50), (10, 29)]):
+        twice = [*twice, row(f"e{k}", "u", "A_ONE", T0 + dt.timedelta(days=day), arrived=T0 + late + dt.timedelta(days=i))]
+        assert 0 < len(store.refresh(spark.createDataFrame(twice, SCHEMA), types)) < 9
+        assert got(store.features()) == brute(twice)
+    lo, hi = T0 + dt.timedelta(days=2, hours=5), T0 + dt.timedelta(days=33, hours=8)
+    events = spark.createDataFrame(twice, SCHEMA)
+    assert got(store.features(events, types, lo, hi)) == brute(twice, lo, hi)
+
+
+@pytest.mark.parametrize("bucket", ["day", "month"])
+def test_ranges_by_bucket(spark, types, tmp_path, bucket):
+    rows = [row(f"e{i}", "u", "A_ONE", T0 + dt.timedelta(hours=i)) for i in range(60)]
+    store = EntityFeatures(spark, str(tmp_path / "s"), bucket)
+    events = spark.createDataFrame(rows, SCHEMA)
+    store.refresh(events, types)
+    lo, hi = T0 + dt.timedelta(hours=5), T0 + dt.timedelta(hours=32)
+    assert got(store.features(events, types, lo, hi)) == brute(rows, lo, hi)
+
+
+def test_short_buckets_are_refused(spark, tmp_path):
+    with pytest.raises(ValueError):
+        EntityFeatures(spark, str(tmp_path / "s"), "hour")
+
+
 def test_empty(spark, types, tmp_path):
     store = EntityFeatures(spark, str(tmp_path / "s"))
     assert store.refresh(spark.createDataFrame([], SCHEMA), types) == []

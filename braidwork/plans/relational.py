@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..operators.positions import positions
 from ..session import table
 
 c = F.col
@@ -85,11 +86,14 @@ def cast_types(t):
     return t("orders").select("o_orderkey", c("o_orderkey").cast("string").alias("s"), c("o_orderkey").cast("double").alias("d"), c("o_orderdate").cast("date").alias("day"), c("o_orderkey").cast("string").cast("bigint").alias("b"), F.lit("true").cast("boolean").alias("t"))
 
 
-@query("WITH e AS (SELECT id, min(user_id) AS user_id FROM entities GROUP BY id) SELECT * FROM (SELECT 'up' AS direction, id, user_id FROM e ORDER BY user_id ASC NULLS LAST, id LIMIT 200) UNION ALL SELECT * FROM (SELECT 'down', id, user_id FROM e ORDER BY user_id DESC NULLS FIRST, id LIMIT 200)")
+@query(
+    "WITH e AS (SELECT id, min(user_id) AS user_id FROM entities GROUP BY id) SELECT id, user_id, row_number() OVER (ORDER BY user_id ASC NULLS LAST, id) AS up, row_number() OVER (ORDER BY user_id DESC NULLS FIRST, id) AS down FROM e"
+)
 def sort_nulls(t):
+    """All rows, with their places in ascending order (nulls last) and in descending order (nulls first)."""
     rows = t("entities").groupBy("id").agg(F.min("user_id").alias("user_id"))
-    first = lambda name, order: rows.orderBy(order, "id").limit(200).select(F.lit(name).alias("direction"), "id", "user_id")
-    return first("up", F.asc_nulls_last("user_id")).union(first("down", F.desc_nulls_first("user_id")))
+    up = positions(rows, [F.asc_nulls_last("user_id"), F.asc("id")], "up")
+    return positions(up, [F.desc_nulls_first("user_id"), F.asc("id")], "down")
 
 
 @query("SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier ORDER BY s_nationkey ASC NULLS LAST, s_acctbal DESC NULLS FIRST, s_suppkey LIMIT 50")
@@ -196,9 +200,9 @@ def join_semi(t):
     return t("customer").join(t("orders").where("o_totalprice > 300000"), c("c_custkey") == c("o_custkey"), "left_semi").select("c_custkey", "c_name")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
 def join_anti(t):
-    return t("customer").join(t("orders"), c("c_custkey") == c("o_custkey"), "left_anti").select("c_custkey")
+    return t("customer").join(t("orders").where("o_totalprice > 200000"), c("c_custkey") == c("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT r_name, c_mktsegment, round(sum(o_totalprice), 2) AS total FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON n_nationkey = c_nationkey JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2")
@@ -285,9 +289,9 @@ def intersect(t):
     return t("customer").select(c("c_nationkey").alias("k")).intersect(t("supplier").where("s_acctbal > 3000").select("s_nationkey"))
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
 def except_(t):
-    return t("customer").select(c("c_custkey").alias("k")).subtract(t("orders").select("o_custkey"))
+    return t("customer").select(c("c_custkey").alias("k")).subtract(t("orders").where("o_orderstatus = 'P'").select("o_custkey"))
 
 
 @query("SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
@@ -325,8 +329,12 @@ _sql("natural_join", "SELECT k, a, b FROM (SELECT n_regionkey AS k, n_name AS a
 _sql(
     "sql_frontend_flagship",
     'SELECT c.c_mktsegment AS \'segment\', count(*) AS n, round(sum(o.o_totalprice), 2) AS "revenue", sum(o.o_orderkey) / count(*) AS mean_key FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey WHERE o.o_totalprice > 1000.5 GROUP BY c.c_mktsegment ORDER BY "revenue" DESC OFFSET 1 LIMIT 3',
-    "SELECT c.c_mktsegment AS segment, count(*) AS n, round(sum(o.o_totalprice), 2) AS revenue, CAST(sum(o.o_orderkey) // count(*) AS BIGINT) AS mean_key FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey WHERE o.o_totalprice > 1000.5 GROUP BY 1 ORDER BY revenue DESC LIMIT 3 OFFSET 1",
+    "SELECT c.c_mktsegment AS segment, count(*) AS n, round(sum(o.o_totalprice), 2) AS revenue, CAST(sum(o.o_orderkey) AS DOUBLE) / count(*) AS mean_key FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey WHERE o.o_totalprice > 1000.5 GROUP BY 1 ORDER BY revenue DESC LIMIT 3 OFFSET 1",
 )
+_sql("sql_sum_int", "SELECT o_orderstatus, SUM(o_custkey) AS total, SUM(o_custkey) / COUNT(*) AS mean, COUNT(*) / 7 AS sevenths FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, CAST(sum(o_custkey) AS DOUBLE) AS total, CAST(sum(o_custkey) AS DOUBLE) / count(*) AS mean, count(*) // 7 AS sevenths FROM orders GROUP BY 1")
+_sql("sql_mod", "SELECT o_orderkey, o_orderkey % 7 AS m, -o_orderkey % 5 AS n, o_orderkey / 3 AS third, o_totalprice / 3 AS part, (o_orderkey + 1) / 2 * 2 AS even FROM orders", "SELECT o_orderkey, CAST(o_orderkey AS DOUBLE) % 7 AS m, CAST(-o_orderkey AS DOUBLE) % 5 AS n, o_orderkey // 3 AS third, o_totalprice / 3 AS part, (o_orderkey + 1) // 2 * 2 AS even FROM orders")
+_sql("sql_round", "SELECT c_custkey, ROUND(c_acctbal) AS r, ROUND(c_custkey - 3.5) AS h, ROUND(c_acctbal / 7, 2) AS d, ABS(c_custkey - 70) AS a, FLOOR(c_acctbal) AS f, CEIL(c_custkey / 2.0) AS k FROM customer", "SELECT c_custkey, floor(c_acctbal + 0.5)::DOUBLE AS r, floor(CAST(c_custkey AS DOUBLE) - 3.5 + 0.5) AS h, floor(c_acctbal / 7 * 100 + 0.5) / 100 AS d, abs(c_custkey - 70)::DOUBLE AS a, floor(c_acctbal)::DOUBLE AS f, ceil(c_custkey / 2.0)::DOUBLE AS k FROM customer")
+_sql("sql_decimal_div", "SELECT o_orderkey, CAST(CAST(o_orderkey AS DECIMAL(12,2)) / 2 AS DOUBLE) AS half, o_orderkey / 2 AS whole, 'a OFFSET 5 LIMIT 3' AS s FROM orders", "SELECT o_orderkey, o_orderkey / 2.0::DOUBLE AS half, o_orderkey // 2 AS whole, 'a OFFSET 5 LIMIT 3' AS s FROM orders")
 _sql("values_no_from", "SELECT 1 AS one, 'it''s' AS s, 2.5 AS d", "SELECT 1 AS one, 'it''s' AS s, CAST(2.5 AS DOUBLE) AS d")
 
 

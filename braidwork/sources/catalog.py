@@ -6,15 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import shared_dir
 from .csv import read_csv
 
 
 class Catalog:
     """Tables by name, case aside, as temporary views; registering again replaces."""
 
+    #: After so many inserts into a table its rows are written to the shared folder, and read from there.
+    CUT_AFTER = 16
+
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self._tables: dict[str, DataFrame] = {}
+        self._inserts: dict[str, int] = {}
 
     def register(self, name: str, df: DataFrame) -> DataFrame:
         self._tables[name.lower()] = df
@@ -52,7 +57,12 @@ class Catalog:
         new = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows, old.schema)
         if list(new.columns) == list(old.columns):
             new = new.select(*[F.col(f.name).cast(f.dataType) for f in old.schema])
-        self.register(name, old.unionByName(new, allowMissingColumns=True).select(*old.columns))
+        rows = old.unionByName(new, allowMissingColumns=True).select(*old.columns)
+        n = self._inserts[name.lower()] = self._inserts.get(name.lower(), 0) + 1
+        if n % self.CUT_AFTER == 0:  # else the plan would grow by a union with each insert
+            shared_dir(self.spark)
+            rows = rows.checkpoint()
+        self.register(name, rows)
 
     def clear(self, name: str) -> None:
         self.register(name, self.table(name).limit(0))

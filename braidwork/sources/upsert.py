@@ -8,9 +8,14 @@ from pyspark.sql.window import Window
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], version: str | None = None) -> DataFrame:
-    """``old`` with the rows of ``new``: one row for each key, a new one before an old one, the highest version first."""
+    """``old`` with the rows of ``new``: one row for each key, a new one before an old one, the highest version first.
+
+    Among rows that are still even, that with the greater hash of all its columns stays, so the result doesn't depend on
+    how rows are spread.
+    """
     rows = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
-    order = [F.desc("__new")] + ([F.desc_nulls_last(version)] if version else [])
+    whole = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])))
+    order = [F.desc("__new")] + ([F.desc_nulls_last(version)] if version else []) + [whole]
     first = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
     return rows.withColumn("__first", first).where("__first = 1").drop("__new", "__first")
 

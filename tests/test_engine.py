@@ -101,3 +101,51 @@ def test_scalars(spark):
     assert r[0] == -2 and r[1] == 1.3 and r[2] != r[2] and r[3] == -3 and r[4] != r[4] and r[5] == "bc" and r[6] == 1.0
     assert spark_type("VARCHAR(20)") == "string" and spark_type("decimal(10, 2)") == "decimal(10,2)" and spark_type("double precision") == "double"
     assert promote(T.IntegerType(), T.DoubleType()) == T.DoubleType() and promote(T.NullType(), T.StringType()) == T.StringType()
+
+
+def test_result_types_of_the_dialect(engine):
+    one = lambda e: engine.query(f"SELECT {e} AS x").first().x
+    assert one("CAST(5 AS DECIMAL(10,2)) / 2") == 2.5 and one("7 / 2") == 3 and one("(7 + 1) / 3 / 2") == 1 and one("7 / (4 / 2)") == 3
+    assert one("7 % 2") == 1.0 and isinstance(one("7 % 2"), float) and one("-7 % 4 + 1") == -2.0 and one("7 % 0") != one("7 % 0")
+    assert one("ABS(-3)") == 3.0 and isinstance(one("ABS(-3)"), float) and isinstance(one("FLOOR(2.5)"), float) and isinstance(one("CEIL(2)"), float)
+    assert one("ROUND(-2.5)") == -2.0 and one("ROUND(2.5)") == 3.0 and one("ROUND(1.005 * 100, 1)") == 100.5
+    assert one("'a OFFSET 5 LIMIT 3'") == "a OFFSET 5 LIMIT 3" and one("'x % y / z'") == "x % y / z"
+    r = engine.query("SELECT SUM(age) / COUNT(*) AS m, SUM(age) AS s, SUM(DISTINCT age) AS d FROM users").first()
+    assert r == (31.6, 158.0, 158.0)
+    assert [x.q for x in engine.query("SELECT CASE WHEN age / 10 = 3 THEN age / 10 ELSE 0 END AS q FROM users ORDER BY id").collect()] == [3, 0, 3, 0, 0]
+    got = engine.query("SELECT age / 10 AS d, COUNT(*) AS n FROM users GROUP BY age / 10 ORDER BY d").collect()
+    assert [tuple(x) for x in got] == [(2, 2), (3, 2), (4, 1)]
+    assert engine.query("SELECT SUM(age) OVER (PARTITION BY id / 3) / 2 AS w FROM users WHERE id = 1").first().w == 15.0
+
+
+def test_many_inserts_keep_a_short_plan(engine):
+    for i in range(20):
+        engine.execute(f"INSERT INTO orders VALUES ({100 + i}, 1, 5)")
+    t = engine.catalog.table("orders")
+    assert t.count() == 25 and t._jdf.queryExecution().analyzed().toString().count("Union") < 10
+
+
+def test_upsert_of_even_rows_is_stable(spark):
+    old = spark.createDataFrame([(1, "a")], "k int, v string")
+    new = spark.createDataFrame([(1, x) for x in "qrstuvw"], "k int, v string")
+    assert {upsert(old, new.repartition(n), ["k"]).first().v for n in (1, 3, 7)} == {upsert(old, new, ["k"]).first().v}
+
+
+def test_positions(spark):
+    from braidwork.operators.positions import positions
+
+    rows = spark.createDataFrame([(i * 7919 % 1000, "c") for i in range(1000)] + [(None, "c")], "x int, clash string")
+    got = positions(rows, [F.desc_nulls_first("x")], "place").collect()
+    assert sorted((r.place, r.x) for r in got)[1:] == [(i + 2, 999 - i) for i in range(1000)] and min(got, key=lambda r: r.place).x is None
+    assert positions(rows.limit(0), [F.asc("x")]).count() == 0
+
+
+def test_broadcasts_are_checked_by_size(spark):
+    from braidwork.session import checked_broadcast, once, size_in_memory
+
+    rows = spark.range(1000).select(F.repeat(F.lit("x"), 100).alias("s"), "id")
+    assert 100_000 < size_in_memory(rows) < 200_000 and size_in_memory(rows.limit(0)) == 0
+    assert checked_broadcast(rows)[1] and not checked_broadcast(rows, 1000)[1]
+    twice = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (2, "c"), (3, "d"), (None, "e"), (None, "f"), (4, None)], "k int, v string")
+    for limit in (1 << 20, 1):
+        assert sorted(map(tuple, once(twice, ["k"], "v", limit).where("k IS NOT NULL").collect()), key=str) == [(1, "a"), (2, "c"), (3, "d"), (4, None)]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import compress, estimate
+from ..functions.text import compress, token_estimate
 from .retrieval import clamp
 
 # Model profiles: window in tokens, format, price of a token; fixed values.
@@ -54,56 +54,48 @@ def plan_mode(df: DataFrame, mode: str | None) -> DataFrame:
     return df.withColumns({"final_score": clamp(F.col("final_score") * m), "reason": why})
 
 
-def pack_rows(rows: list[dict], budget: int, query: str) -> list[dict]:
-    """The best row of each kind, then the others in order of score, while the budget holds. Rows below .10 are left
-    out; one that would overflow, or a long one below .45, is compressed."""
-    budget, used, out, ids = max(256, budget), 0, [], set()
-    ranked = sorted(rows, key=lambda r: (-r["final_score"], str(r["id"])))
-
-    def add(r: dict) -> None:
-        nonlocal used
-        if used >= budget or r["final_score"] < 0.10:
-            return
-        text = r["content"]
-        n = int(r["token_estimate"]) if r["token_estimate"] and r["token_estimate"] > 0 else estimate(text)
-        how = "FULL"
-        if used + n > budget or (r["final_score"] < 0.45 and n > 180):
-            text = compress(text, min(max(80, budget - used), max(120, n // 2)), query)
-            n, how = estimate(text), "COMPRESSED_SUMMARY"
-        if used + n > budget:
-            return
-        used += n
-        ids.add(r["id"])
-        out.append(r | {"content": text, "token_estimate": n, "decision": how})
-
-    firsts: dict[str, dict] = {}
-    for r in ranked:
-        firsts.setdefault(r["type"], r)
-    for r in firsts.values():
-        add(r)
-    for r in ranked:
-        if r["id"] not in ids:
-            add(r)
-    return sorted(out, key=lambda r: -r["final_score"])
+#: Results below this score are left out; long ones below the other are shortened.
+LEAST, SHORTEN_BELOW, LONG = 0.10, 0.45, 180
 
 
 def pack(df: DataFrame, budget: int, query: str, query_id: str | None = None, candidates: int = 500) -> DataFrame:
-    """``pack_rows`` for each query over its best ``candidates`` rows (id, type, content, token_estimate, final_score)."""
-    qid = query_id or "__q"
+    """The results (id, type, content, token_estimate, final_score, perhaps reason) of each query that fit its budget of
+    tokens, 256 at least: with ``content``, ``token_estimate`` and ``decision`` as packed, and ``position``.
+
+    The best result of each type comes first, then the others by score. Each takes what room is left: whole, or as an
+    extract if it overflows or is long and weak. Retrieval hands on at most ``candidates`` results a query, the best.
+    Repeated ids are results of their own. Null contents are empty. Without rows, nothing is packed.
+    """
+    qid, reason = query_id or "__q", ["reason"] if "reason" in df.columns else []
+    rows = df if query_id else df.withColumn("__q", F.lit(0))
+    rows = rows.where(F.col("final_score") >= LEAST)
     if query_id:
         rank = F.row_number().over(Window.partitionBy(qid).orderBy(F.desc("final_score"), "id"))
-        rows = df.withColumn("__rank", rank).where(F.col("__rank") <= candidates)
+        rows = rows.withColumn("__rank", rank).where(F.col("__rank") <= candidates)
     else:
-        rows = df.orderBy(F.desc("final_score"), "id").limit(candidates).withColumn("__q", F.lit(0))
-    rows = rows.select(qid, "id", "type", "content", "token_estimate", "final_score")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = pack_rows(pdf.to_dict("records"), budget, query)
-        cols = [qid, "id", "type", "content", "token_estimate", "final_score", "decision"]
-        return pd.DataFrame([{c: r[c] for c in cols} | {"position": i + 1} for i, r in enumerate(got)], columns=[*cols, "position"])
-
-    kinds = dict(rows.dtypes)
-    out = rows.groupBy(qid).applyInPandas(run, f"`{qid}` {kinds[qid]}, id {kinds['id']}, type string, content string, token_estimate int, final_score double, decision string, position int")
+        rows = rows.orderBy(F.desc("final_score"), "id").limit(candidates)
+    lead = F.row_number().over(Window.partitionBy(qid, "type").orderBy(F.desc("final_score"), "id"))
+    known = F.when(F.col("token_estimate") > 0, F.col("token_estimate")).otherwise(token_estimate(F.col("content")))
+    item = F.struct((F.col("__lead") > 1).alias("later"), (-F.col("final_score")).alias("weak"), "id", "type", F.coalesce("content", F.lit("")).alias("content"), F.coalesce(known, F.lit(0)).cast("int").alias("n"), *reason)
+    listed = rows.withColumn("__lead", lead).groupBy(qid).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    room = max(256, budget)
+    extra = ", reason string" if reason else ""
+    empty = F.array().cast(f"array<struct<id:{dict(df.dtypes)['id']}, type:string, content:string, token_estimate:int, final_score:double, decision:string{extra.replace('reason ', 'reason:')}>>")
+
+    def add(acc: Column, r: Column) -> Column:
+        left = F.lit(room) - acc["used"]
+        whole = (r["n"] <= left) & ~((r["weak"] > -SHORTEN_BELOW) & (r["n"] > LONG))
+        short = compress(r["content"], F.least(F.greatest(F.lit(80), left), F.greatest(F.lit(120), F.floor(r["n"] / 2).cast("int"))), query)
+        packed = F.when(whole, F.struct(r["content"].alias("content"), r["n"].alias("n"), F.lit("FULL").alias("how"))).otherwise(
+            F.struct(short.alias("content"), token_estimate(short).alias("n"), F.lit("COMPRESSED_SUMMARY").alias("how"))
+        )
+        more = [r["reason"].alias("reason")] if reason else []
+        out = F.struct(r["id"].alias("id"), r["type"].alias("type"), packed["content"].alias("content"), packed["n"].alias("token_estimate"), (-r["weak"]).alias("final_score"), packed["how"].alias("decision"), *more)
+        return F.when((left > 0) & (packed["n"] <= left), F.struct((acc["used"] + packed["n"]).alias("used"), F.array_append(acc["out"], out).alias("out"))).otherwise(acc)
+
+    filled = F.aggregate("items", F.struct(F.lit(0).alias("used"), empty.alias("out")), add, lambda acc: acc["out"])
+    shown = F.array_sort(filled, lambda x, y: F.when(x["final_score"] > y["final_score"], -1).when(x["final_score"] < y["final_score"], 1).otherwise(0))
+    out = listed.select(qid, F.posexplode(shown).alias("p", "r")).select(qid, "r.*", (F.col("p") + 1).alias("position"))
     return out if query_id else out.drop("__q")
 
 
@@ -137,11 +129,8 @@ def format_rows(rows: list[dict], query: str, mode: str, style: str) -> str:
 def build(df: DataFrame, query: str, mode: str | None, budget: int, model: str | None = None) -> DataFrame:
     """One row: the formatted bundle of the packed results, its tokens and its cost. A bundle fits a model's window, so it is bounded."""
     window, style, price = profile(model)
-    packed = pack(plan_mode(df, mode), min(max(256, budget), window), query)
-    reasons = plan_mode(df, mode).select("id", "reason")
-    rows = packed.join(reasons, "id")
+    rows = pack(plan_mode(df, mode), min(max(256, budget), window), query)
     m = (mode or "general").strip().lower() or "general"
-    rows = rows.select("id", "type", "content", "token_estimate", "final_score", "reason", "position")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         items = pdf.sort_values("position").to_dict("records")

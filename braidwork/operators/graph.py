@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
+from .vectors import search
 
 
 def entities_by_type(nodes: DataFrame, kind: str) -> DataFrame:
@@ -33,7 +34,8 @@ def related(edges: DataFrame, start: DataFrame, depth: int, kind: str | None = N
     """
     shared_dir(edges.sparkSession)
     e = edges.where(F.col("relationship_type") == kind) if kind else edges
-    e = e.select(F.col("source_id").alias("node"), F.col("target_id").alias("next")).distinct()
+    # the edges are made once, and lie partitioned by what each hop joins on; edges of a hub are spread by AQE
+    e = e.select(F.col("source_id").alias("node"), F.col("target_id").alias("next")).where("node IS NOT NULL AND next IS NOT NULL").distinct().repartition("node").checkpoint()
     seen = start.select("node").distinct().withColumn("depth", F.lit(0))
     frontier = seen
     for d in range(1, depth + 1):
@@ -45,6 +47,11 @@ def related(edges: DataFrame, start: DataFrame, depth: int, kind: str | None = N
     return seen.where("depth > 0")
 
 
+def entity_search(nodes: DataFrame, query: list[float], k: int, kind: str | None = None) -> DataFrame:
+    """The k entities, perhaps of a type, whose vectors are most like the query, with ``score``."""
+    return search(nodes if kind is None else entities_by_type(nodes, kind), query, k)
+
+
 def remove_entities(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges without the named nodes and all edges at them."""
     gone = ids.select("id").distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import checked_broadcast
 from .vectors import cosine, search
 
 # Types and the core pattern each belongs to, and the decay rates of the patterns by hour; fixed values.
@@ -58,11 +59,48 @@ def as_of(df: DataFrame, t: Column) -> DataFrame:
     return df.where((F.col("created_at") <= t) & (F.col("expired_at").isNull() | (F.col("expired_at") > t)) & (F.col("valid_until").isNull() | (F.col("valid_until") > t)))
 
 
-def visible_to(user: str) -> Column:
+def visible_to(user: str | int) -> Column:
     """A user's own memories, and those of agents."""
     return (F.col("user_id") == user) | (F.col("scope") == "agent")
 
 
+def visible(df: DataFrame, now: Column, namespace: str | None = None, kind: str | None = None, user: str | int | None = None, scope: str | None = None, as_of_time: Column | None = None) -> DataFrame:
+    """Memories that may answer: valid now, of a namespace, type and scope, a user's own or an agent's.
+
+    With ``as_of_time`` those that were known at that time take the place of those that are valid now. Scope "agent" is
+    for every user.
+    """
+    rows = df.where(valid(now)) if as_of_time is None else as_of(df, as_of_time)
+    for name, value in (("namespace", namespace), ("memory_type", kind), ("scope", scope)):
+        rows = rows if value is None else rows.where(F.col(name) == value)
+    return rows if user is None or scope == "agent" else rows.where(visible_to(user))
+
+
+def search_scoped(df: DataFrame, query: list[float], k: int, now: Column, **who: object) -> DataFrame:
+    """The k visible memories most like the query, with ``similarity``; ``who`` as in ``visible``."""
+    return search(visible(df, now, **who), query, k).withColumnRenamed("score", "similarity")  # type: ignore[arg-type]
+
+
+def count_active(df: DataFrame, user: str | int | None = None) -> DataFrame:
+    """One row: how many memories, perhaps of a user, aren't expired."""
+    rows = df.where("expired_at IS NULL")
+    return (rows if user is None else rows.where(F.col("user_id") == user)).agg(F.count(F.lit(1)).alias("n"))
+
+
+def update(df: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
+    """``df`` with the columns of ``changes`` (id and others; importance alone, say) where they aren't null.
+
+    An id that is changed twice takes the row with the greatest values. Ids that ``df`` lacks change nothing.
+    """
+    names = [c for c in changes.columns if c != "id" and c in df.columns]
+    one = changes.where("id IS NOT NULL").groupBy("id").agg(F.max(F.struct(*names)).alias("__to"))
+    rows = df.join(one, "id", "left")
+    out = {n: F.coalesce(F.col(f"__to.{n}"), F.col(n)) for n in names}
+    if "updated_at" in df.columns and "updated_at" not in names:
+        out["updated_at"] = F.when(F.col("__to").isNotNull(), now).otherwise(F.col("updated_at"))
+    return rows.withColumns(out).select(*df.columns)
+
+
 def user_context(df: DataFrame, user: str, n: int) -> DataFrame:
     return df.where(F.col("user_id") == user).orderBy(F.desc("importance"), F.desc("updated_at"), "id").limit(n)
 
@@ -95,13 +133,32 @@ def decay(df: DataFrame, now: Column, rates: dict[str, float] = RATES) -> DataFr
     return df.withColumn("recency", F.exp(-rate * F.greatest(hours, F.lit(0.0))))
 
 
+#: Memories of one user, namespace and type are compared in so many blocks at least, and in more where there are many.
+BLOCKS, BLOCK_ROWS = 4, 20_000
+
+
 def conflicts(new: DataFrame, kept: DataFrame, threshold: float = 0.85, most: int = 5) -> DataFrame:
-    """For each new memory, up to ``most`` kept ones of its namespace, type and user that are more similar than the threshold."""
-    n = new.select(F.col("id").alias("new_id"), "namespace", "memory_type", "user_id", F.col("embedding").alias("new_embedding"))
-    pairs = n.join(kept, ["namespace", "memory_type", "user_id"]).where(F.col("id") != F.col("new_id"))
+    """For each new memory, up to ``most`` kept ones of its namespace, type and user that are more similar than the threshold.
+
+    ``new`` is a stated set of queries. The kept memories of a group lie in blocks by a hash of their id, each small
+    enough for a task; a new memory meets each block of its group, and only the best of each block are ranked together.
+    Memories with a null in namespace, type, user or embedding have no conflicts.
+    """
+    by = ["namespace", "memory_type", "user_id"]
+    # one number for a group: how many blocks it has
+    blocks = kept.groupBy(*by).agg(F.greatest(F.lit(BLOCKS), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int")).alias("__blocks"))
+    blocks, _ = checked_broadcast(blocks)
+    n = new.select(F.col("id").alias("new_id"), *by, F.col("embedding").alias("new_embedding")).join(blocks, by)
+    n = n.withColumn("__block", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    k = kept.select("id", *by, "embedding").join(blocks, by).withColumn("__block", F.pmod(F.xxhash64("id"), F.col("__blocks")).cast("int")).drop("__blocks")
+    pairs = n.join(k, [*by, "__block"]).where(F.col("id") != F.col("new_id"))
     pairs = pairs.withColumn("similarity", cosine(F.col("new_embedding"), F.col("embedding"))).where(F.col("similarity") > threshold)
-    rank = F.row_number().over(Window.partitionBy("new_id").orderBy(F.desc("similarity"), "id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= most).select("new_id", F.col("id").alias("superseded_id"), "similarity", "rank")
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "id"))), 1, most)
+    # pairs of a block are ranked where they are made, so at most ``most`` of a block go on
+    inner = F.row_number().over(Window.partitionBy("new_id", "__block").orderBy(F.desc("similarity"), "id"))
+    pairs = pairs.withColumn("__inner", inner).where(F.col("__inner") <= most)
+    top = pairs.groupBy("new_id").agg(best.alias("b")).select("new_id", F.posexplode("b").alias("p", "r"))
+    return top.select("new_id", F.col("r.id").alias("superseded_id"), (-F.col("r.s")).alias("similarity"), (F.col("p") + 1).alias("rank"))
 
 
 def expire(df: DataFrame, ids: DataFrame, now: Column) -> DataFrame:

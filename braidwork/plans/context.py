@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import bundle as B
+from ..operators import context as C
 from ..operators import events as E
 from ..operators import graph as G
 from ..operators import memory as M
@@ -170,12 +171,13 @@ def mem_asof(t):
 
 @query(
     _MEM
-    + """, p AS (SELECT n.id AS new_id, k.id AS superseded_id, list_cosine_similarity(n.embedding::DOUBLE[], k.embedding::DOUBLE[]) AS similarity FROM mem n JOIN mem k USING (namespace, memory_type, user_id) WHERE n.id % 10 = 0 AND k.id % 10 <> 0 AND n.id <> k.id),
+    + """, p AS (SELECT n.id AS new_id, k.id AS superseded_id, list_cosine_similarity(n.embedding::DOUBLE[], k.embedding::DOUBLE[]) AS similarity FROM mem n JOIN mem k USING (namespace, memory_type, user_id) WHERE n.id % 20 = 0 AND n.id <> k.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY similarity DESC, superseded_id) AS rank FROM p WHERE similarity > 0.1) SELECT new_id, superseded_id, round(similarity, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5"""
 )
 def mem_conflicts(t):
+    """The memories whose id is divisible by 20, against all others."""
     m = _memories(t)
-    return M.conflicts(m.where("id % 10 = 0"), m.where("id % 10 <> 0"), 0.1).withColumn("similarity", F.round("similarity", 6))
+    return M.conflicts(m.where("id % 20 = 0"), m, 0.1).withColumn("similarity", F.round("similarity", 6))
 
 
 # -- a graph of regions, nations, suppliers and customers -------------------------------------------------------
@@ -254,7 +256,14 @@ def txt_signature_dedup(t):
     return R.signature_dedup(t("documents").where("doc_type IS NOT NULL"), "doc_type", "text", "doc_id", "n_chars").select("doc_id", "signature")
 
 
-@query()
+_WS = r"[ \t\n\x0B\f\r]+"
+_SENTENCES = f"string_split(regexp_replace(lower(coalesce(text, '')), '([.!?]){_WS}', '\\1' || chr(1), 'g'), chr(1))"
+_REPETITION = rf"""sent AS (SELECT doc_id AS rep_id, {_SENTENCES} AS ss FROM documents),
+plain AS (SELECT rep_id, len(ss) AS m, list_filter(list_transform(ss, lambda x: trim(regexp_replace(regexp_replace(x, '\b[0-9]+\b', '', 'g'), '[^a-z0-9]+', ' ', 'g'))), lambda x: length(x) >= 40) AS k FROM sent),
+rep AS (SELECT rep_id, CASE WHEN m < 3 OR len(k) < 3 THEN 0.0::DOUBLE ELSE coalesce(list_sum(list_filter(map_values(list_aggregate(k, 'histogram')), lambda v: v > 1)), 0)::DOUBLE / len(k) END AS ratio FROM plain)"""
+
+
+@query(f"WITH {_REPETITION} SELECT rep_id AS doc_id, round(ratio, 6) AS ratio FROM rep")
 def txt_repetition(t):
     return t("documents").select("doc_id", F.round(X.repetition_ratio(c("text")), 6).alias("ratio"))
 
@@ -272,19 +281,37 @@ def txt_chunk(t):
 # -- retrieval and bundles --------------------------------------------------------------------------------------
 
 
+#: Rules of the queries below; an installation has its own.
+QUALITY = [([["runbook"], ["planner", "step"]], 1.1), ([["error", "timeout"]], 0.8)]
+CEILINGS = [([["draft"], ["deprecated"]], 0.5), ([["todo"]], 0.6)]
+
+
 def _candidates(t) -> DataFrame:
-    """Documents with a vector as retrieval results: vector and text scores, freshness, importance."""
+    """All documents as retrieval results: vector scores (0 without a vector) and text scores, freshness, importance."""
     kind = F.element_at(F.array(*[F.lit(k) for k in ("MEMORY", "SOURCE_CHUNK", "ENTITY", "EVENT")]), (c("doc_id") % 4 + 1).cast("int"))
-    rows = t("documents").join(t("embeddings").select("vec_id", "embedding"), c("doc_id") == c("vec_id")).withColumn("type", kind)
-    rows = rows.withColumns({"vector_score": V.cosine(c("embedding"), V.as_vector(VECTOR)), "text_score": X.lexical_score(WORDS, c("text")), "freshness": R.freshness(c("created_at"), now()), "importance": (c("doc_id") % 10) / 10.0})
-    score = R.final_score(c("vector_score"), c("text_score"), c("freshness"), c("importance"), R.quality(c("type"), c("text")), R.ceiling(c("type"), c("text")))
+    rows = t("documents").join(t("embeddings").select("vec_id", "embedding"), c("doc_id") == c("vec_id"), "left").withColumn("type", kind)
+    near = F.when(c("embedding").isNull(), F.lit(0.0)).otherwise(V.cosine(c("embedding"), V.as_vector(VECTOR)))
+    rows = rows.withColumns({"vector_score": near, "text_score": X.lexical_score(WORDS, c("text")), "freshness": R.freshness(c("created_at"), now()), "importance": (c("doc_id") % 10) / 10.0})
+    score = R.final_score(c("vector_score"), c("text_score"), c("freshness"), c("importance"), R.quality(c("type"), c("text"), QUALITY), R.ceiling(c("type"), c("text"), CEILINGS))
     why = R.reason(F.lower("type"), c("vector_score"), c("text_score"), c("freshness"), c("importance"))
     return rows.withColumns({"final_score": score, "reason": why}).select(
         c("doc_id").cast("string").alias("id"), "doc_id", "type", c("text").alias("content"), X.token_estimate(c("text")).alias("token_estimate"), "vector_score", "text_score", "freshness", "importance", "final_score", "reason", c("doc_type").alias("source_type"), c("title").alias("source_name"), "created_at"
     )
 
 
-@query()
+_HAS = lambda w: f"contains(lower(coalesce(text, '')), '{w}')"
+_LEXICAL = "((CASE WHEN list_contains(terms, 'planner') THEN 2.0 ELSE 0 END) + (CASE WHEN list_contains(terms, 'memory') THEN 1.6 ELSE 0 END) + (CASE WHEN list_contains(terms, 'merged') THEN 1 ELSE 0 END) + (CASE WHEN list_contains(terms, 'working') THEN 1 ELSE 0 END)) / 5.6"
+_FRESH = "CASE WHEN created_at IS NULL THEN 0.6 ELSE greatest(0.2, exp(-greatest(0, floor(epoch(TIMESTAMP '2024-12-01') / 3600.0 - floor(epoch(created_at)) / 3600.0)) / 720.0)) END"
+_CANDIDATES = f"""WITH {_REPETITION}, base AS (SELECT doc_id, text, {_TERMS} AS terms, (['MEMORY','SOURCE_CHUNK','ENTITY','EVENT'])[doc_id % 4 + 1] AS type, {_COS.replace("coalesce(", "coalesce(", 1)} AS vs, {_FRESH} AS fresh, (doc_id % 10) / 10.0 AS imp, ratio
+ FROM documents LEFT JOIN embeddings ON doc_id = vec_id JOIN rep ON rep_id = doc_id),
+parts AS (SELECT *, CAST({_LEXICAL} AS DOUBLE) AS ts,
+ greatest(0.45, least(1.35, (CASE WHEN {_HAS('runbook')} OR ({_HAS('planner')} AND {_HAS('step')}) THEN 1.1 ELSE 1 END) * (CASE WHEN {_HAS('error')} AND {_HAS('timeout')} THEN 0.8 ELSE 1 END) * (CASE WHEN ratio > 0.45 THEN 0.68 ELSE 1 END) * (CASE type WHEN 'ENTITY' THEN 1.1 WHEN 'EVENT' THEN 1.04 ELSE 1 END)))::DOUBLE AS q,
+ (CASE WHEN {_HAS('draft')} OR {_HAS('deprecated')} THEN 0.5 WHEN {_HAS('todo')} THEN 0.6 WHEN type = 'SOURCE_CHUNK' AND ratio > 0.35 THEN 0.86 ELSE 0.985 END)::DOUBLE AS ceil FROM base),
+cand AS (SELECT *, least(ceil, least(1, greatest(0, q * (0.34 * least(1, greatest(0, vs)) + 0.34 * least(1, greatest(0, ts)) + 0.12 * fresh + 0.2 * imp)))) AS score,
+ list_filter([CASE WHEN vs > 0.05 THEN 'semantic similarity' END, CASE WHEN ts > 0 THEN 'full-text match' END, CASE WHEN fresh > 0.8 THEN 'fresh content' END, CASE WHEN imp > 0.8 THEN 'high importance' END], lambda x: x IS NOT NULL) AS why FROM parts) """
+
+
+@query(_CANDIDATES + "SELECT doc_id, type, round(score, 6) AS final_score, 'Selected ' || lower(type) || ' by ' || CASE WHEN len(why) = 0 THEN 'baseline relevance' ELSE array_to_string(why, ', ') END AS reason FROM cand")
 def ctx_final_score(t):
     return _candidates(t).select("doc_id", "type", F.round("final_score", 6).alias("final_score"), "reason")
 
@@ -294,16 +321,35 @@ def ctx_freshness(t):
     return t("documents").select("doc_id", F.round(R.freshness(c("created_at"), now()), 6).alias("freshness"))
 
 
-@query("SELECT doc_id, CAST(CASE WHEN doc_type LIKE '%log%' OR lower(coalesce(title, '')) LIKE '%log%' THEN 1.45 WHEN doc_type LIKE '%config%' THEN 1.3 ELSE 1.0 END AS DOUBLE) AS multiplier FROM documents")
+MODES = ["debugging", "coding", "planning", "research", "summary", "general", "other"]
+_LOGS = "(lower(coalesce(doc_type, '')) LIKE '%log%' OR lower(coalesce(title, '')) LIKE '%log%')"
+_CONF = "(lower(coalesce(doc_type, '')) LIKE '%config%' OR regexp_matches(lower(coalesce(title, '')), '\\.(yml|yaml|properties|env)$'))"
+_MODE_SQL = {
+    "debugging": f"CASE WHEN {_LOGS} THEN 1.45 WHEN {_CONF} THEN 1.3 WHEN type = 'EVENT' THEN 1.2 ELSE 1 END",
+    "coding": f"CASE WHEN lower(doc_type) = 'code' THEN 1.35 WHEN {_CONF} THEN 1.15 WHEN {_LOGS} THEN 0.72 ELSE 1 END",
+    "planning": f"CASE WHEN type IN ('MEMORY', 'RELATIONSHIP', 'EVENT') THEN 1.18 WHEN {_LOGS} THEN 0.55 ELSE 1 END",
+    "research": f"CASE WHEN lower(doc_type) IN ('document', 'note') OR type = 'ENTITY' THEN 1.18 WHEN {_LOGS} THEN 0.65 ELSE 1 END",
+    "summary": f"CASE WHEN {_LOGS} THEN 0.45 ELSE 1 END",
+    "general": f"CASE WHEN {_LOGS} THEN 0.45 ELSE 1 END",
+    "other": f"CASE WHEN {_LOGS} THEN 0.55 ELSE 1 END",
+}
+
+
+@query(
+    "WITH d AS (SELECT *, (['MEMORY','SOURCE_CHUNK','ENTITY','EVENT','RELATIONSHIP'])[doc_id % 5 + 1] AS type FROM documents) "
+    + " UNION ALL ".join(f"SELECT doc_id, '{m}' AS mode, CAST({_MODE_SQL[m]} AS DOUBLE) AS multiplier FROM d" for m in MODES)
+)
 def ctx_mode_plan(t):
-    return t("documents").select("doc_id", B.mode_multiplier(F.lit("SOURCE_CHUNK"), c("doc_type"), c("title"), "debugging").cast("double").alias("multiplier"))
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("MEMORY", "SOURCE_CHUNK", "ENTITY", "EVENT", "RELATIONSHIP")]), (c("doc_id") % 5 + 1).cast("int"))
+    by = F.array(*[F.struct(F.lit(m).alias("mode"), B.mode_multiplier(kind, c("doc_type"), c("title"), m).cast("double").alias("multiplier")) for m in MODES])
+    return t("documents").select("doc_id", F.explode(by).alias("m")).select("doc_id", "m.*")
 
 
 @query(
     f"""WITH r AS (SELECT vec_id, text, 'vector' AS source, 1.0 AS weight, greatest(0.05, least(1.0, {_COS})) AS norm, {_COS} AS score FROM embeddings JOIN documents ON doc_id = vec_id WHERE label < 6
 UNION ALL SELECT vec_id, text, 'fulltext', 2.2, 1.0, CAST(vec_id % 50 AS DOUBLE) FROM embeddings JOIN documents ON doc_id = vec_id WHERE label > 3),
 k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, vec_id) AS rk FROM r)
-SELECT vec_id AS id, round(sum(weight * norm * (1 + (CAST(list_contains(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), 'planner') AS INTEGER) + CAST(list_contains(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), 'merged') AS INTEGER)) / 2.0) / (60.0 + rk)), 8) AS fused FROM k WHERE rk <= 500 GROUP BY 1 ORDER BY sum(weight * norm * (1 + (CAST(list_contains(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), 'planner') AS INTEGER) + CAST(list_contains(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), 'merged') AS INTEGER)) / 2.0) / (60.0 + rk)) DESC, id LIMIT 20"""
+SELECT vec_id AS id, round(sum(weight * norm * (1 + (CAST(list_contains(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), 'planner') AS INTEGER) + CAST(list_contains(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), 'merged') AS INTEGER)) / 2.0) / (60.0 + rk)), 8) AS fused FROM k GROUP BY 1 ORDER BY sum(weight * norm * (1 + (CAST(list_contains(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), 'planner') AS INTEGER) + CAST(list_contains(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), 'merged') AS INTEGER)) / 2.0) / (60.0 + rk)) DESC, id LIMIT 20"""
 )
 def ctx_rrf(t):
     rows = t("embeddings").join(t("documents").select("doc_id", "text"), c("vec_id") == c("doc_id"))
@@ -323,11 +369,32 @@ def ctx_merge_max(t):
     return R.merge_max(v, x, 20).select("id", F.round("vector_score", 6).alias("vector_score"), F.round("text_score", 6).alias("text_score"))
 
 
-@query()
-def ctx_diversify(t):
+_SIGN = "array_to_string(list_slice(list_sort(list_filter(terms, lambda x: NOT regexp_full_match(x, '[0-9]+') AND x NOT IN (" + ", ".join(f"'{w}'" for w in X.SIGNATURE_STOP) + "))), 1, 10), ' ')"
+
+
+@query(
+    _CANDIDATES
+    + f""", one AS (SELECT *, row_number() OVER (PARTITION BY type, {_SIGN} ORDER BY score DESC, CAST(doc_id AS VARCHAR)) AS a FROM cand WHERE text IS NOT NULL),
+kind AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY score DESC, CAST(doc_id AS VARCHAR)) AS r FROM one WHERE a = 1),
+pick AS (SELECT *, row_number() OVER (ORDER BY r > 1, score DESC, CAST(doc_id AS VARCHAR)) AS n FROM kind WHERE r <= 1)
+SELECT CAST(doc_id AS VARCHAR) AS id, type, CAST(row_number() OVER (ORDER BY score + CASE type WHEN 'MEMORY' THEN 0.05 WHEN 'SOURCE_CHUNK' THEN 0.012 WHEN 'ENTITY' THEN 0.035 ELSE 0.02 END DESC, r > 1, score DESC, CAST(doc_id AS VARCHAR)) AS INTEGER) AS position FROM pick WHERE n <= 10"""
+)
+def ctx_diversify_asked(t):
+    """The query names a kind of data, so each type has one place."""
     return R.diversify(_candidates(t).where("content IS NOT NULL"), 10, WORDS)
 
 
+@query(
+    _CANDIDATES
+    + f""", one AS (SELECT *, row_number() OVER (PARTITION BY type, {_SIGN} ORDER BY score DESC, CAST(doc_id AS VARCHAR)) AS a FROM cand WHERE text IS NOT NULL),
+kind AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY score DESC, CAST(doc_id AS VARCHAR)) AS r FROM one WHERE a = 1),
+pick AS (SELECT *, row_number() OVER (ORDER BY r > 1, score DESC, CAST(doc_id AS VARCHAR)) AS n FROM kind WHERE r <= 5)
+SELECT CAST(doc_id AS VARCHAR) AS id, type, CAST(row_number() OVER (ORDER BY score + CASE type WHEN 'MEMORY' THEN 0.015 WHEN 'SOURCE_CHUNK' THEN 0.012 WHEN 'ENTITY' THEN 0.035 ELSE 0.02 END DESC, r > 1, score DESC, CAST(doc_id AS VARCHAR)) AS INTEGER) AS position FROM pick WHERE n <= 10"""
+)
+def ctx_diversify(t):
+    return R.diversify(_candidates(t).where("content IS NOT NULL"), 10, "planner merged")
+
+
 @query()
 def ctx_pack_budget(t):
     top = _candidates(t).where("content IS NOT NULL").orderBy(F.desc("final_score"), "id").limit(30)
@@ -340,25 +407,82 @@ def ctx_format(t):
     return B.build(top, WORDS, "debugging", 4000, "small-context-model")
 
 
+# -- recall and retrieval over all stores -----------------------------------------------------------------------
+
+
+def _once(t, name: str) -> DataFrame:
+    """A table of which whole rows are repeated, each id once."""
+    rows = t(name)
+    return rows.groupBy("id").agg(F.min(F.struct(*[x for x in rows.columns if x != "id"])).alias("r")).select("id", "r.*")
+
+
+def _stores(t) -> C.Stores:
+    """Memories and vectors from embeddings and documents, chunks with a vector by their length, entities, a user's events."""
+    texts = t("documents").select(c("doc_id").alias("id"), c("text").alias("content"))
+    memories = _memories(t).join(texts, "id", "left").withColumns({"namespace": F.lit("default"), "scope": F.when(c("id") % 6 == 0, "agent").otherwise("user")})
+    vector = t("embeddings").select((c("vec_id")).alias("__v"), "embedding").where("__v < 97")
+    chunks = _once(t, "context_chunks").withColumn("__v", F.length("content") % 97).join(vector, "__v", "left").drop("__v")
+    sources = _once(t, "sources").withColumn("updated_at", c("updated_at").cast("timestamp_ntz"))
+    events = t("events").select(c("event_id").alias("id"), "user_id", "event_type", F.lit("seen by the planner").alias("action"), "ts")
+    edges = _edges(t).withColumns({"id": F.concat_ws("-", "source_id", "target_id"), "confidence": F.lit(0.5), "weight": F.lit(0.4), "created_at": now()})
+    return C.Stores(memories, chunks, sources, _once(t, "entities"), edges, events, t("embeddings").select(c("vec_id").alias("id"), F.lit("default").alias("namespace"), F.lit("vector").alias("content"), "embedding"))
+
+
+def _request(query: str = WORDS, **more) -> C.Request:
+    return C.Request(query, VECTOR, now(), **more)
+
+
+@query(
+    _MEM
+    + f", seen AS (SELECT *, {_COS} AS similarity FROM mem WHERE memory_type = 'PREFERENCE' AND (user_id = 3 OR vec_scope = 'agent') AND expired_at IS NULL AND (valid_until IS NULL OR valid_until > TIMESTAMP '2024-12-01')) SELECT id, round(similarity, 6) AS similarity FROM seen ORDER BY similarity DESC, id LIMIT 15".replace("vec_scope = 'agent'", "id % 6 = 0")
+)
+def mem_search_scoped(t):
+    m = _memories(t).withColumn("scope", F.when(c("id") % 6 == 0, "agent").otherwise("user"))
+    return M.search_scoped(m, VECTOR, 15, now(), kind="PREFERENCE", user=3).select("id", F.round("similarity", 6).alias("similarity"))
+
+
+@query(
+    _MEM
+    + f", seen AS (SELECT *, {_COS} AS similarity FROM mem WHERE namespace = 'ns2' AND created_at <= TIMESTAMP '2024-06-15' AND (expired_at IS NULL OR expired_at > TIMESTAMP '2024-06-15') AND (valid_until IS NULL OR valid_until > TIMESTAMP '2024-06-15')) SELECT id, round(similarity, 6) AS similarity FROM seen ORDER BY similarity DESC, id LIMIT 15"
+)
+def mem_search_asof(t):
+    m = _memories(t).withColumn("scope", F.lit("user"))
+    return M.search_scoped(m, VECTOR, 15, now(), namespace="ns2", as_of_time=F.lit(dt.datetime(2024, 6, 15)).cast("timestamp_ntz")).select("id", F.round("similarity", 6).alias("similarity"))
+
+
+_CHUNK_TERMS = _TERMS.replace("text", "content")
+_CHUNK_WORDS = "list_filter(string_split_regex(lower(coalesce(content, '')), '[^a-z0-9]+'), lambda x: length(x) > 2)"
+
+
+@query(
+    f"""WITH ch AS (SELECT id, min(source_id) AS source_id, min(content) AS content FROM context_chunks GROUP BY id), so AS (SELECT id AS sid, min(source_type) AS source_type, min(status) AS status FROM sources GROUP BY id),
+r AS (SELECT ch.id, content, embedding, {_CHUNK_TERMS} AS terms, {_CHUNK_WORDS} AS words FROM ch JOIN so ON sid = source_id LEFT JOIN embeddings ON vec_id = length(content) % 97 WHERE status = 'ACTIVE' AND lower(source_type) IN ('document', 'ticket')),
+v AS (SELECT id, {_COS} AS vs FROM r WHERE embedding IS NOT NULL ORDER BY vs DESC, id LIMIT 80),
+x AS (SELECT id, len(list_filter(words, lambda w: w IN ('planner', 'step'))) / (1.0 + ln(1.0 + len(words))) AS ts FROM r WHERE list_contains(terms, 'planner') AND list_contains(terms, 'step') ORDER BY ts DESC, id LIMIT 80),
+m AS (SELECT coalesce(v.id, x.id) AS id, coalesce(vs, 0) AS vs, coalesce(ts, 0) AS ts FROM v FULL JOIN x ON v.id = x.id)
+SELECT id, round(vs, 6) AS vector_score, round(ts, 6) AS text_score FROM m ORDER BY greatest(vs, 0) + ts DESC, id LIMIT 40"""
+)
+def ctx_chunk_search(t):
+    rows = C.chunk_search(_stores(t), _request("planner step", source_types=["document", "ticket"]), 40)
+    return rows.select("id", F.round("vector_score", 6).alias("vector_score"), F.round("text_score", 6).alias("text_score"))
+
+
+@query()
+def ctx_retrieve(t):
+    return C.retrieve(_stores(t), _request("planner step for customers has_customer", user=7), 12, QUALITY, CEILINGS).select("id", "type", F.round("final_score", 6).alias("final_score"), "reason", "position")
+
+
 @query()
 def ctx_recall(t):
-    """Five ranked lists fused: memories, full text, vectors, related entities, events."""
-    docs = t("documents").where("text IS NOT NULL").select(c("doc_id").cast("string").alias("id"), "doc_id", "text")
-    match, rank = X.fulltext_rank("planner merged", c("text"))
-    pick = lambda df, source, kind, i, text, score: df.select(F.lit(source).alias("source"), i.cast("string").alias("id"), F.lit(kind).alias("type"), text.alias("content"), score.cast("double").alias("score"))
-    memory = M.recall_similar(_memories(t), VECTOR, 20).join(docs.select("doc_id", "text"), c("id") == c("doc_id"))
-    vector = V.search(t("embeddings").join(docs.select("doc_id", "text"), c("vec_id") == c("doc_id")), VECTOR, 20, key="vec_id")
-    e = _edges(t)
-    near = G.related(e, e.sparkSession.createDataFrame([("r1",)], "node string"), 2)
-    near = near.orderBy("depth", "node").limit(20)
-    events = E.by_user(t("events"), 7, 25)
-    ranked = (
-        pick(memory, "memory", "MEMORY", c("id"), c("text"), c("relevance"))
-        .union(pick(docs.where(match).withColumn("r", rank).orderBy(F.desc("r"), "id").limit(20), "fulltext", "SOURCE_CHUNK", c("id"), c("text"), c("r")))
-        .union(pick(vector, "vector", "SOURCE_CHUNK", c("vec_id"), c("text"), c("score")))
-        .union(pick(near, "semantic", "ENTITY", c("node"), c("node"), F.greatest(F.lit(0.1), F.lit(0.65) / c("depth"))))
-        .union(pick(events, "events", "EVENT", F.concat(F.lit("event-"), c("event_id")), c("event_type"), F.lit(0.45)))
-    )
-    return R.fuse(ranked, "planner merged", 30).select("id", "source", "type", F.round("fused", 8).alias("fused"))
+    """Five ranked lists fused: memories, full text, vectors, entities, events."""
+    s = _stores(t)
+    s.entities = t("embeddings").where("vec_id < 60").select(F.concat(F.lit("n"), (c("vec_id") % 25).cast("string"), F.when(c("vec_id") >= 25, "x").otherwise("")).alias("id"), F.lit(None).cast("long").alias("user_id"), F.lit("nation").alias("entity_type"), F.lit("a nation").alias("name"), F.lit(None).cast("string").alias("description"), "embedding").dropDuplicates(["id"])
+    return C.recall(s, _request("planner merged", user=7), 30, related_depth=2).select("id", "source", "type", F.round("fused", 8).alias("fused"))
 
 
+@query()
+def vec_approximate(t):
+    """The 10 nearest vectors of each whose id is divisible by 20, by buckets."""
+    e = t("embeddings")
+    asked = e.where("vec_id % 20 = 0").select(c("vec_id").alias("query_id"), c("embedding").alias("query"))
+    return V.approximate_search(e, asked, 10, 64, key="vec_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import chunks, content_hash
+from ..functions.text import chunks, content_hash, embed
 from ..operators.memory import CORE
 from .upsert import replace_children, upsert_versioned
 
@@ -21,7 +21,13 @@ def memory_kind(c: Column) -> Column:
     return F.when(up.isin(*CORE), up).otherwise(F.lit("FACT"))
 
 
-def add_sources(old: DataFrame, old_chunks: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sources and chunks with new sources taken in: types made alike, contents hashed and chunked, versions raised."""
+def add_sources(old: DataFrame, old_chunks: DataFrame, new: DataFrame, dims: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Sources and chunks with new sources taken in: types made alike, contents hashed and chunked, versions raised.
+
+    Where the chunks have an ``embedding``, new ones are embedded, with ``dims`` numbers.
+    """
     made = new.withColumns({"source_type": source_type(F.col("source_type")), "content_hash": content_hash(F.col("content"))})
-    return upsert_versioned(old, made, ["id"]), replace_children(old_chunks, chunks(made, "id", "content"), "source_id")
+    parts = chunks(made, "id", "content")
+    if "embedding" in old_chunks.columns:
+        parts = embed(parts, "content", dims)
+    return upsert_versioned(old, made, ["id"]), replace_children(old_chunks, parts, "source_id")

@@ -103,7 +103,8 @@ def p9_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return p9_repaired(spark, d).select("doc_id").distinct()
+    shared_dir(spark)
+    return mojibake.find(_documents(spark, d), "doc_id", "text")
 
 
 QUERIES = {

@@ -253,3 +253,16 @@ def test_damage_beside_clean_cjk(spark):
     assert wrong[288][0].startswith("Lanternfall¤Îº÷°ú¤ò2768") and wrong[5513][0].startswith("¼ìË÷½á¹û")
     df = spark.createDataFrame(rows + [(k, v[0]) for k, v in wrong.items()], "doc_id bigint, text string")
     assert {r.doc_id: r.restored for r in mojibake.repair(df, "doc_id", "text").collect()} == {k: v[1] for k, v in wrong.items()}
+
+
+def test_damage_that_lost_bytes(spark):
+    """Control characters of latin-1, and bytes that cp1252 leaves undefined, were dropped: found, and left as it stands."""
+    ja = ["検索結果の順序が前回と違います。", "古い記憶は日後に自動で消えます。", "長い文書は小さな段に分けて保存します。"]
+    pl = ["Wasn’t the café’s note naïve?", "Não é possível, já está lá"]
+    rows = [(i, (ja + pl + CLEAN)[i % 12]) for i in range(4800)]
+    strip = lambda s: re.sub(r"[\x80-\x9f]", "", s)
+    bad = {1: strip(pl[0].encode().decode("latin-1")), 2: strip(strip(pl[1].encode().decode("latin-1")).encode().decode("latin-1")), 3: strip(ja[1].encode().decode("latin-1")), 4: ja[0].encode("cp932").decode("cp1252", "ignore"), 5: CLEAN[4].encode("cp1251").decode("gb18030", "ignore")}
+    df = spark.createDataFrame(rows + [(10000 + k, v) for k, v in bad.items()], "doc_id bigint, text string")
+    got = {r.doc_id: r.restored for r in mojibake.repair(df, "doc_id", "text").collect()}
+    assert set(got) == {10001, 10002, 10003, 10004, 10005} and got[10003] == bad[3] and got[10004] == bad[4]
+    assert {r.doc_id for r in mojibake.find(df, "doc_id", "text").collect()} == set(got)

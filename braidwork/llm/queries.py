@@ -59,11 +59,13 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_values(spark: SparkSession, d: str) -> DataFrame:
+    shared_dir(spark)
     return secrets.scan(table(spark, d, "project_files"), table(spark, d, "sources"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return p5_values(spark, d).select("source_id", "line_no").distinct()
+    shared_dir(spark)
+    return secrets.scan(table(spark, d, "project_files"), table(spark, d, "sources"), redacted=False).select("source_id", "line_no").distinct()
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -4,8 +4,12 @@ A literal counts by its place and its form. Places are assignments, arguments, o
 name ends in a word for credentials, logins in URLs, logins in command lines, encoded logins, and the
 markers of private keys. There, the literal is split into dictionary words by Viterbi's algorithm, the
 dictionary being the words of the corpus itself; what no word explains is its residual. A long residual is
-a secret, a literal that words explain is a name, a reference or a placeholder. Passwords, which people
-make from words, need a digit or a mark besides. Known hash formats under names of hashes are no secrets.
+a secret, a literal that words explain is a name, a reference or a placeholder. People make passwords from
+words, so in places for passwords a shorter residual will do, and digits are never explained there. Known
+hash formats under names of hashes are no secrets.
+
+Two kinds come by their form alone: private keys, by their markers, and pass phrases, several plain words in
+quotes under the name of a password, none of which belongs to a sentence.
 """
 
 from __future__ import annotations
@@ -21,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checked_broadcast, ship
+from ..session import BROADCAST_BYTES, checked_broadcast, once, ship
 
-#: The most frequent words of the corpus make the dictionary, as many as this, each in so many different texts.
-DICTIONARY, WORD_ROWS = 40_000, 3
+#: A word of the dictionary stands in so many different texts at least, and in one of so many.
+WORD_ROWS, WORD_SHARE = 3, 20_000
 
 _WORDS = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{3,}(?![a-z])")
 # Long literals of letters and digits: keys, hashes, ids. What letters stand in them are no words.
@@ -35,10 +39,12 @@ def _words(text: str) -> set[str]:
     return {w.lower() for w in set(_WORDS.findall(text)) if len(w) <= 20}
 
 
-def word_counts(df: DataFrame, text: str) -> dict[str, int]:
-    """The dictionary: in how many different texts each of the most frequent words stands outside long literals.
+def word_counts(df: DataFrame, key: str, text: str, least_rows: int = WORD_ROWS, one_in: int = WORD_SHARE) -> dict[str, int]:
+    """The dictionary: in how many different texts each word stands outside long literals.
 
-    Letters that stand inside long literals in more texts than outside are no word, however many texts there are.
+    Words of fewer than ``least_rows`` texts, or of less than one in ``one_in``, are none; so the dictionary has at most
+    ``one_in`` times the words of a text, however large the corpus, and grows no false words as it does. Letters that
+    stand inside long literals in more texts than outside are no word, however many texts there are.
     """
     ship(df.sparkSession)
 
@@ -50,11 +56,18 @@ def word_counts(df: DataFrame, text: str) -> dict[str, int]:
                 found.update(_words(_LITERAL.sub(" ", t)))
                 inside.update(_words(" ".join(_LITERAL.findall(t))))
             every = list(found | inside)
+            every.append("")  # stands for the texts
+            found[""] = b.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *(pa.array([c[w] for w in every], pa.int64()) for c in (found, inside))], ["word", "n", "inside"])
 
-    texts = df.select(text).where(F.col(text).isNotNull()).distinct()
-    words = texts.mapInArrow(run, "word string, n bigint, inside bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside"))
-    return {r.word: r.n for r in words.where((F.col("n") >= WORD_ROWS) & (F.col("n") >= F.col("inside"))).orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()}
+    # equal texts count once: where a hash stands more than once, the row with the smallest key; no text is shuffled
+    texts = df.select(F.col(key).alias("__k"), F.col(text).alias("__t"), F.xxhash64(text).alias("__h"), F.length(text).alias("__l")).where("__t IS NOT NULL")
+    again = texts.groupBy("__h", "__l").agg(F.min("__k").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    texts = texts.join(checked_broadcast(again)[0], ["__h", "__l"], "left").where("__first IS NULL OR __first = __k")
+    counts = texts.select("__t").mapInArrow(run, "word string, n bigint, inside bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside")).checkpoint()
+    total = (counts.where("word = ''").first() or ["", 0])[1]
+    words = counts.where((F.col("n") >= max(least_rows, total / one_in)) & (F.col("n") >= F.col("inside")) & (F.col("word") != ""))
+    return {r.word: r.n for r in words.select("word", "n").collect()}
 
 
 class Segmenter:
@@ -68,14 +81,19 @@ class Segmenter:
         self.cost = {w: 1.0 + math.log(total / n) if len(w) < 5 else min(11.0, 1.0 + math.log(total / n)) for w, n in counts.items()}
         self.longest = max(map(len, counts), default=0)
 
-    def residual(self, literal: str) -> int:
-        """How many letters and digits of a literal no word explains; digits are explained in runs of up to 4 beside words."""
+    def residual(self, literal: str, digits: bool = True) -> int:
+        """How many letters and digits of a literal no word explains. With ``digits``, runs of up to 4 beside words are
+        explained; without, none is."""
         left = 0
         for run in re.findall(r"[A-Za-z0-9]+", literal):
-            left += self._run(run)
+            for i in range(0, len(run), self.PART):
+                left += self._run(run[i : i + self.PART], digits)
         return left
 
-    def _run(self, s: str) -> int:
+    #: Runs are split in parts of so many characters, so that one of any length is read in linear time and little memory.
+    PART = 4096
+
+    def _run(self, s: str, digits: bool = True) -> int:
         low, n = s.lower(), len(s)
         best: list[tuple[float, int]] = [(0.0, 0)] + [(1e9, 0)] * n
         for i in range(n):
@@ -84,7 +102,7 @@ class Segmenter:
                 j = i
                 while j < n and low[j].isdigit():
                     j += 1
-                clean = j - i <= 4 and (i == 0 or low[i - 1].isalpha()) and r == 0
+                clean = digits and j - i <= 4 and (i == 0 or low[i - 1].isalpha()) and r == 0
                 step = (c + (3.0 if clean else self.UNKNOWN * (j - i)), r + (0 if clean else j - i))
                 best[j] = min(best[j], step)
             best[i + 1] = min(best[i + 1], (c + self.UNKNOWN, r + 1))
@@ -134,17 +152,37 @@ _HIT = re.compile(
     r"|login[ :]|identified|://|akia|eyj|[ \t]-[up]|-----begin|_(?:token|key|secret|password)\b"
 )
 _BEFORE = re.compile(r"[\w.\-]{0,64}\Z")
-_NO_NAME = re.compile(r"hash|digest|checksum|public|pub_|_pub|fingerprint|commit|etag|cache|sort|primary|foreign|partition|index|object|s3|keyboard|monkey|turkey", re.I)
+_NO_NAME = re.compile(
+    r"hash|digest|checksum|public|pub_|_pub|fingerprint|etag|keyboard|monkey|turkey|commit(?!t)"
+    r"|(?:cache|sort|primary|foreign|partition|index|object|s3)[-_. ]?(?:key|token)s?\d*$",
+    re.I,
+)
+#: Parts of names of hashes and ids; fixed values.
+_HASH_PARTS = {"id", "ids", "sum", "sha", "md", "rev", "revision"}
+_NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _PLACEHOLDER = re.compile(
     r"^\$[\w{(]|^%[sd({]|^%\w+%$|^:\w+$|^<|\$\{|\{\{|^\W*$|^(?:x+|\*+|\.+|null|none|nil|true|false|undefined|todo|tbd|password|passwd|secret|token|changeme|change[-_ ]?it|redacted|placeholder|example|dummy|default|required)\W*$"
     r"|^your\b|your[-_]|[-_]here$|^<|^(?:sha\d+|md5)[:-]|^\$2[aby]\$|\*{3,}|x{5,}|^env[.:]|^vault:|^file:|^/(?:run|etc|var|home|opt)/",
     re.I,
 )
+#: Words of sentences: a text that has one of them is no pass phrase.
+_SENTENCE = set(
+    "the and for not must your you with that this from into have has was were will can may are any all please enter type use used new old set change changed reset password passphrase secret token user login invalid wrong required missing here "
+    "value string least characters long should when then else than only very more most our their its but per via after before until because while about over under".split()
+)
+#: With a digit, or with both cases.
+_MIXED = re.compile(r"[0-9]|[a-z].*[A-Z]|[A-Z].*[a-z]", re.S)
+_FORM = re.compile(r"AKIA[0-9A-Z]{16}")
 _SCHEME = re.compile(r"^(bearer|basic|token|digest)\s+", re.I)
 _HEX = re.compile(r"^[0-9a-f]{32}$|^[0-9a-f]{40}$|^[0-9a-f]{56}$|^[0-9a-f]{64}$|^[0-9a-f]{96}$|^[0-9a-f]{128}$", re.I)
 _CODE = re.compile(r"^[A-Za-z_$][\w$]*(?:(?:\.|->|::)[A-Za-z_$][\w$]*)+;?$")
 
 
+#: The kind of a further part of a value: it is redacted and is no value of its own.
+CONTINUED = "continued"
+_CONTINUED = re.compile(r"""["'](?:[ \t]*\\?\n\s*|[ \t]*\+\s*)["']([\w+/=.\-]{6,})(?=["'])""")
+
+
 class Finder:
     """Finds credentials in one text."""
 
@@ -152,27 +190,42 @@ class Finder:
         self.words, self.least = Segmenter(counts), least
 
     def _login(self, encoded: str) -> bool:
+        """Whether a literal is a login in base64, and no words."""
         try:
             raw = base64.b64decode(encoded + "=" * (-len(encoded) % 4), validate=True)
         except (binascii.Error, ValueError):
             return False
         user, colon, rest = raw.partition(b":")
-        return bool(user and colon and rest) and all(32 <= c < 127 for c in raw)
+        return bool(user and colon and rest) and all(32 <= c < 127 for c in raw) and self.words.residual(encoded) >= self.least // 2
 
     def _password(self, v: str) -> bool:
-        if len(v) < 6 or len(v) > 256 or _PLACEHOLDER.search(v) or " " in v.strip():
+        if len(v) < 6 or _PLACEHOLDER.search(v):
+            return False
+        if " " in v.strip():
+            return self._phrase(v)
+        digits = any(c.isdigit() for c in v)
+        if _CODE.match(v) and not digits:
             return False
-        if _CODE.match(v) and not re.search(r"\d", v):
+        marks = sum((digits, any(c.isalpha() for c in v), any(not c.isalnum() for c in v)))
+        # with digits, which no word explains, or with other marks, a short residual will do
+        return self.words.residual(v, digits=False) >= (1 if digits and marks >= 2 else self.least)
+
+    def _phrase(self, v: str) -> bool:
+        """A literal with blanks: plain words in a row that make no sentence, or mostly residual."""
+        ws = v.split()
+        if {w.lower() for w in ws} & _SENTENCE:
             return False
-        marks = sum((any(c.isdigit() for c in v), any(c.isalpha() for c in v), any(not c.isalnum() for c in v)))
-        return marks >= 2 and (any(c.isdigit() for c in v) or self.words.residual(v) >= 4) or self.words.residual(v) >= self.least
+        if len(ws) >= 4 and all(re.fullmatch(r"[a-z]{3,}|[A-Z][a-z]{2,}", w) for w in ws):
+            return True
+        left = self.words.residual(v)
+        return bool(_MIXED.search(v)) and left >= self.least and 2 * left >= sum(c.isalnum() for c in v)
 
     def _secret(self, v: str, name: str) -> bool:
-        if _PLACEHOLDER.search(v) or not 8 <= len(v) <= 4096 or v.isdigit() or " " in v.strip():
+        if _PLACEHOLDER.search(v) or len(v) < 8 or v.isdigit() or " " in v.strip():
             return False
-        if _NO_NAME.search(name) or (_HEX.match(v) and re.search(r"id|sum|sha|md5|rev", name, re.I)):
+        if _NO_NAME.search(name) or (_HEX.match(v) and {p.lower() for p in _NAME_PART.findall(name)} & _HASH_PARTS):
             return False
-        if not any(c.isdigit() for c in v) and not (any(c.islower() for c in v) and any(c.isupper() for c in v)):
+        if not _MIXED.search(v) and not _FORM.fullmatch(v):
             return False
         left = self.words.residual(v)
         return left >= self.least and 2 * left >= sum(c.isalnum() for c in v)
@@ -220,7 +273,8 @@ class Finder:
                     out.append((start, end, "secret_url"))
                 continue
             if group == "form":
-                out.append((start, end, "token"))
+                if self.words.residual(v) >= self.least:
+                    out.append((start, end, "token"))
                 continue
             if m["k"]:
                 name = _BEFORE.search(text[max(0, m.start() - 64) : m.start()])[0] + name
@@ -259,6 +313,10 @@ class Finder:
                 continue
             if (self._password(v) if password else self._secret(v, name) or (not _NO_NAME.search(name) and self._login(v) and len(v) >= 8)):
                 out.append((start, end, "url_login" if group == "url" else "password" if password else "token"))
+                # literals that the code puts together: the value goes on in the next one
+                while group.startswith("v") and (more := _CONTINUED.match(text, end)):
+                    start, end = more.span(1)
+                    out.append((start, end, CONTINUED))
         out.sort()
         kept: list[tuple[int, int, str]] = []
         for s in out:
@@ -271,7 +329,7 @@ class Finder:
         before = text[max(0, m.start() - 40) : m.start()]
         if not re.search(r"hook", host + before + path[:12], re.I):
             return False
-        return any(len(p) >= 12 and any(c.isdigit() for c in p) and self.words.residual(p) >= 10 and not _HEX.match(p) for p in re.split(r"[/?&=]", path))
+        return any(len(p) >= 12 and _MIXED.search(p) and self.words.residual(p) >= 10 and not _HEX.match(p) for p in re.split(r"[/?&=]", path))
 
 
 def redact(text: str, found: list[tuple[int, int, str]]) -> str:
@@ -293,20 +351,20 @@ def redact(text: str, found: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[last:]])
 
 
-def scan(files: DataFrame, contents: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
+def scan(files: DataFrame, contents: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, least_rows: int = WORD_ROWS, one_in: int = WORD_SHARE, redacted: bool = True) -> DataFrame:
     """Credentials of the listed sources: ``source_id``, ``line_no``, ``kind``, ``start``, ``end`` (offsets), ``redacted``.
 
     ``files`` has source_id, ``contents`` id and content. One row for each value; ``redacted`` is the whole
-    text with all values replaced, in the first row of each source, null in its others. A line's number
-    counts from 1, lines ending at ``\\n``. Rows repeated under one id count once (the smallest content);
-    null and empty contents have no rows; sources that aren't listed are not read. Further columns are
-    ignored.
+    text with all values replaced, in the first row of each source, null in its others (and in all, if it isn't
+    wanted). A line's number counts from 1, lines ending at ``\\n``. Rows repeated under one id count once (the
+    smallest content); null and empty contents have no rows; sources that aren't listed are not read. Further
+    columns are ignored. ``least_rows`` and ``one_in`` decide what is a word, see ``word_counts``.
     """
     spark = files.sparkSession
     ship(spark)
-    listed, _ = checked_broadcast(files.select("source_id").where("source_id IS NOT NULL").distinct(), broadcast_rows)
-    rows = contents.select(F.col("id").alias("source_id"), "content").where("content <> ''").join(listed, "source_id")
-    counts = spark.sparkContext.broadcast(word_counts(rows, "content"))
+    listed, _ = checked_broadcast(files.select("source_id").where("source_id IS NOT NULL").distinct(), broadcast_bytes)
+    rows = once(contents.select(F.col("id").alias("source_id"), "content").where("content <> ''").join(listed, "source_id"), ["source_id"], "content", broadcast_bytes)
+    counts = spark.sparkContext.broadcast(word_counts(rows, "source_id", "content", least_rows, one_in))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(counts.value)
@@ -316,10 +374,12 @@ def scan(files: DataFrame, contents: DataFrame, broadcast_rows: int = 500_000) -
                 found = finder.find(t)
                 line, at = 1, 0
                 for k, (start, end, kind) in enumerate(found):
+                    if kind == CONTINUED:
+                        continue
                     line, at = line + t.count("\n", at, start), start
-                    for c, x in zip(cols, (i, line, kind, start, end, redact(t, found) if k == 0 else None)):
+                    for c, x in zip(cols, (i, line, kind, start, end, redact(t, found) if redacted and k == 0 else None)):
                         c.append(x)
             types = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, types)], ["source_id", "line_no", "kind", "start", "end", "redacted"])
 
-    return rows.mapInArrow(run, "source_id string, line_no int, kind string, start int, end int, redacted string").dropDuplicates(["source_id", "line_no", "kind", "start", "end"])
+    return rows.mapInArrow(run, "source_id string, line_no int, kind string, start int, end int, redacted string")

@@ -337,6 +337,7 @@ def _recurring_nicknames(parsed: DataFrame, lex: Lexicon) -> dict[str, set[str]]
 
 def lexicon_of(rows: DataFrame, nicknames: DataFrame) -> Lexicon:
     """What ``learn`` finds in rows (id, name), with the nicknames that recur beside full names."""
+    ship(rows.sparkSession)
     lex = learn(rows, nicknames)
     more = _recurring_nicknames(_parsed(rows, lex).checkpoint(), lex)
     return Lexicon(lex.given, {k: lex.full.get(k, set()) | more.get(k, set()) for k in {*lex.full, *more}}, lex.words)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .names import PARTICLES, fold
+from .texts import different
 
 KINDS = ["EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME"]
 
@@ -60,6 +61,8 @@ FUNCTION_WORDS = SHORT_WORDS | set(
     "the and for not but nor are was were has had have with from that this these those than then they them their there here his her its our your you she who whom whose what which when where why how all any each every some "
     "can could may might must shall should will would did does done been being into onto over under about after before because while until unless only also very just more most less such per via und der die das les des est une".split()
 )
+#: A longer word is no name.
+LONGEST_TOKEN = 80
 TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "professor", "herr", "frau", "mme"}
 
 
@@ -83,6 +86,7 @@ _TOKEN = re.compile(r"[^\W\d_]+")
 # The word behind a given name or title, with initials, particles or a nickname in quotes between; the one before it; initials.
 _AFTER = re.compile(rf"""\.?[ \t\n]{{1,3}}(?:(?:[^\W\d_]\.?|{'|'.join(sorted(PARTICLES))}|["“][^\W\d_]+["”])\s){{0,2}}([^\W\d_]{{2,40}})(?![\w@])""")
 _BEFORE_GIVEN = re.compile(r"(?<![\w@])([^\W\d_]{2,40})(?:,?[ \t]{1,3}|,[ \t]?\n)\Z")
+_TITLE_STOP = re.compile(r"\b(mr|mrs|ms|dr|prof)\. ")
 _DOTTED = re.compile(r"(?<![\w.])[A-Z]\.(?=\s[A-Z])")
 
 
@@ -186,7 +190,7 @@ class Tagger:
             done = e
             if (s and low[s - 1] in "@_/\\+.$#0123456789" and not (low[s - 1] == "." and s > 1 and low[s - 2].isalpha() is False)) or (e < len(low) and low[e] in "@_/\\+0123456789$"):
                 continue
-            if low[e : e + 2].startswith((".", "=")) and low[e + 1 : e + 2].isalnum() or (e - s > 40):
+            if low[e : e + 2].startswith((".", "=")) and low[e + 1 : e + 2].isalnum() or (e - s > LONGEST_TOKEN):
                 continue
             before = [(m.start() + max(0, s - 60), m[0]) for m in _NAME_TOKEN.finditer(low[max(0, s - 60) : s])]
             after = [(m.start() + e, m.end() + e, m[0]) for m in _NAME_TOKEN.finditer(low[e : e + 48])]
@@ -216,6 +220,8 @@ class Tagger:
                             ends.append(stop + m.end())
                     elif weak:
                         pass  # a common or short word needs a given name
+                    elif "," not in gap and "\n" not in gap and text[s].isupper() and text[b].isupper() and len(bare) > 1 and bare not in FUNCTION_WORDS and bare not in TITLES:
+                        ends.append(c - (t[-1] == "."))  # a given name that no list holds, and a surname that is short or a word
                     elif len(bare) <= 2 and bare not in SHORT_WORDS and text[b:c].rstrip(".").isupper():
                         ends.append(b + len(bare))
                     elif len(bare) == 1 and t[-1] == "." and "," in gap:
@@ -265,6 +271,7 @@ class Tagger:
                 out.append(f"{kind} plain{len(span)} {span[:1]}")
             if re.fullmatch(r"(19|20)\d\d[-. ].*", span):
                 out.append(f"{kind} year")
+            left = _TITLE_STOP.sub(r"\1 ", left)
             near = re.split(r"[\n;|]|\. |\", ", left)[-1]  # the same clause or field
             if re.search(r"phone|call|tel|mobile|ring|fax|contact|reach", near):
                 out.append(f"{kind} callword")
@@ -370,20 +377,38 @@ class Tagger:
 
 # -- training ---------------------------------------------------------------------------------------------
 # What the made-up sentences are made of. Slots: {N} name, {E} address for mail, {P} phone, {I} identity number, {A} address,
-# {x} a product-like word, {n} a small number, {R} a rare word that is no name, {B} a number of a thing,
-# {G} a given name that is a word here, {C} a common word.
-WITH = """Reviewed by {N} on 2024-03-02.|According to {N} the export holds {n} rows.|Signed, {N}|requester: {N}|name={N}; status=open|owner={N}, team=blue|"author": "{N}"
-maintained by {N} <{E}>|Met with {N} at {A} to plan {x}.|Owner of the record is {N}, reachable at {E}.|Please call {N} on {P} about the {x} invoice.|{N} asked why {x} was slow.|ask {N} whether {x} may be switched off
-New contact: {N} / {E} / {P}|Tax file {I} belongs to {N}.|The parcel label read: {N}, {A}.|cc {E}, thanks.|Reply went to {E} and was never opened.|Ring {P} after hours, otherwise write to {E}.|Callback number: {P}
-phone: {P}|phone={P}; ticket={n}|"phone": "{P}"|contact={E}|contact: {E}|mail {E} or phone {P}|Passport or id given as {I} at the desk.|The form listed the national number {I} twice.|id={I}; name={N}|national id: {I}|"national id": "{I}"
-identity card {I} was shown|ssn {I} on file|tax number {I}|Deliver the badge to {A} before Friday.|Moved in March, new address is {A}.|ship to: {A}|ship to={A}; opened=2024-02-01|"ship to": "{A}"|lives at {A}|user: my name is {N}|assistant: thanks, {N}!|from {N}|To: {N} <{E}>
-{N} wrote to {E}.|Spoke to {N} and {N} today.|tel {P}|Fax {P}|- {N}|(c) {N}|approved by {N}.|{N} signed the form.|INFO user="{N}" ip=10.2.3.4|# contact {N}|// ask {N} first|-- owner: {N}""".replace("\n", "|").split("|")
-WITHOUT = """Batch {B} was replayed twice.|Invoice {B} was matched by {x}.|Compare build {B} with build {B}.|Epoch {T} marks the cutoff of {x}.|Range 10.{n}.5.0/24 is reserved for {x} workers.|peer=10.22.8.22 took=3945ms|2024-06-08T17:08:00Z WARN trace=918448efc38f
-The checksum 7609{n} belongs to {x}.|The checksum {R} belongs to {x}.|Handle @{x} and tag #{n} are reserved.|Use p@6 and n@3842 as the two metrics.|Suite 15 of the {x} tests covers the layouts.|Lane 4 of the queue feeds {x}, lane 3 feeds {x}.|Street, lane and avenue are stop words in {x}.|redis://svc:Pw9xx@cache.{x}.example:8080/db
-Dr. is expanded to doctor by {x}, rule {n}.|Mark the chunk as stale once {x} has moved on.|Frank feedback on {x} was collected in {n} forms.|Grace period for {x} is {n} days.|On 2024-05-10, the step pinned {n} rows in 2850 ms.|version {n}.{n}.{n} of {x}|ticket CQ00000{n}1234 by {R}|The {R} parser failed.|set {R} to {n}
-const {R} = {n};|{R}_{n} = load({n})|see {R}.{x} for more|order {B} shipped|serial {B}|timestamp {T}|epoch={T}|{n} retries on the way|{n} rows took the long way, {x} said|In {n} ms the drive was full|rows affected: {B}|file {R}.txt|{R} {R} {R}|run {R} again|key={R}{n}|{x} asked why it was slow.|Signed, {x}|belongs to {x}.|matched by {x}
-Penny-wise tuning of {x} saved {n} ms.|Art, maps and diagrams of {x} live in folder {n}.|Court {x} early: it has {n} notes.|The step by {R} was slow.|a {R} of {x}|{h},{D},{h},{h},{D},{D},{h}|{R}{n}:{h},{D},{h},{D}|{D}, {D}, {h}|values ({D}, {D}, {n})|"opened": "2024-01-214"|ALTER ROLE app3 {R} BY "x9"|SELECT {R}, {R} FROM {R}_{n}|export {R}={n}|def {R}(rows):|import {R}|{R} {R} = {n}|{x} and {R} were merged.
-{G} {C} at {n} is what {x} reports, not {C} at {n}.|{G} {C} of {x} was {n}.|In {n} ms. {G} {C} grew by {n}.|The step kept {G} {C} low.|set {G} {C} to {n}|{G} {C}: {n}|- {G} {C}|{G} {C} and {C} of {x} are kept.|In short, {G} {C} fell. {G} {C} rose.|## {C} {G} the {C} of {x} rise?|{C} {G} a {C} still take {n}?""".replace("\n", "|").split("|")
+# {x} a product-like word, {n} a small number, {R} a rare word that is no name, {B} a number of a thing, {G} a given name that
+# is a word here, {C} a common word, {K} a common word in capitals, {w} a filler, {D}, {h} long numbers and hashes, {T} a time,
+# {U} an address with a login, {V} a rare word in capitals.
+WITH = r"""Reviewed by {N} on 2024-03-02.|Signed, {N}|requester: {N}|owner={N}, team=blue|"author": "{N}"|cc {E}, thanks.|phone: {P}|phone={P}; ticket={n}|"phone": "{P}"|contact={E}|contact: {E}|mail {E} or phone {P}
+id={I}; name={N}|national id: {I}|identity card {I} was shown|ssn {I} on file|tax number {I}|ship to={A}; opened=2024-02-01|lives at {A}|user: my name is {N}|assistant: thanks, {N}!|from {N}|To: {N} <{E}>
+{N} wrote to {E}.|Spoke to {N} and {N} today.|tel {P}|Fax {P}|- {N}|(c) {N}|approved by {N}.|{N} signed the form.|INFO user="{N}" ip=10.2.3.4|# contact {N}|// ask {N} first|-- owner: {N}|The visit was arranged by {N}.
+A letter from {N} arrived on Monday.|We spoke with {N}, who lives at {A}.|Her number is {P} and her mail is {E}.|Send a copy to {N}, {A}.|Question for {N}: is {x} still in use?|Thanks to {N} for the fix.
+{N} joined the call late.|Hi {N},|Dear {N},|Regards, {N}|Best, {N}|assigned to {N}|Author: {N}|reporter={N} priority={n}|manager: {N}, floor {n}|- {N} ({E})|* {N}, {P}|{N};{E};{P}|{N},{E},{A}|contact person {N}
+handled by {N} on the second day|According to {N}, {x} failed {n} times.|As {N} wrote, the rows are gone.|the tenant {N} moved out|patient {N} came in at noon|invoice address: {N}, {A}|his lawyer {N} sent {n} pages
+{N} and {N} disagreed about {x}.|Her new flat is at {A} as of May.|Pick the parcel up at {A}.|office: {A}|address={A}; floor={n}|"address": "{A}"|The van goes to {A} twice a week.|home address {A}
+The garden behind {A} floods.|from {A} to {A}|{A} was sold.|If {x} stops, phone {P}.|Her extension changed, dial {P} now.|mobile {P}, office {P}|You can reach me at {P} until six.|hotline={P}|"mobile": "{P}"|call {P}
+call me back on {P}|The old line {P} is dead.|SMS to {P} failed|fax: {P}|email={E}|"email": "{E}"|E-mail {E} bounced {n} times.|write to {E} for a copy|{E} was unsubscribed|from: {E}|to {E} and {E}
+The alias {E} forwards to {E}.|Forwarded by {E}|author <{E}>|sender {E}; retries={n}|Her passport, {I}, has expired.|The tax office knows the case as {I}.|passport: {I}|passport no {I}, issued in May
+social security number {I}|ssn={I}|"ssn": "{I}"|insurance no. {I} of {N}|Citizen {I} applied twice.|personal code {I}; floor={n}|licence {I} was renewed|id card {I} was copied|tax id {I}|taxpayer {I} moved|national no {I}, {N}|"tax id": "{I}"|national insurance {I}|identity {I} was checked by {N}|tax no. {I} / {N}|id document {I}|the {w} tax number is {I}|ident={I}; tax={I}|national identity no: {I}
+{w} {w}. {N} asked {w}|{w} {w} {w}. {N} {w}|{w}! {N} wrote.|{w} {n} ms. {N} {w}|{n} ms. {N} asked {w}|took {n} Ms. {N} wrote|{w} number: {P}|telephone number {P}|number to call: {P}|call {N} on {P}|ring Mr. {N} at {P} {w}|{w} {w} or call {P}.|{E} / {P}|{N} / {P}|{P} ({N})|{N}, {A}|label: {N}, {A}|{w} {w}: {N}, {A}|
+{w} {w} {N} {w} {w}.|{w} {N} {w}
+{w} {w} {w} {E} {w}|{w} {A}, {w} {w}|{w} {w} {N}, {w} {w} {n}|{N}: {w} {w} {w}|{w}={N}|{w}: {N}|"{w}": "{N}"|{w} {w} by {N}.|{w} {w} to {N}.|{w} {w} from {N} {w} {w}|{N} {w} {w} {w}.""".replace("\n", "|").split("|")
+WITHOUT = """peer=10.22.8.22 took=3945ms|2024-06-08T17:08:00Z WARN trace=918448efc38f|The checksum 7609{n} belongs to {x}.|Use p@6 and n@3842 as the two metrics.|Suite 15 of the {x} tests covers the layouts.
+redis://svc:Pw9xx@cache.{x}.example:8080/db|Grace period for {x} is {n} days.|On 2024-05-10, the step pinned {n} rows in 2850 ms.|version {n}.{n}.{n} of {x}|ticket CQ00000{n}1234 by {R}|The {R} parser failed.
+set {R} to {n}|const {R} = {n};|{R}_{n} = load({n})|see {R}.{x} for more|order {B} shipped|serial {B}|timestamp {T}|epoch={T}|{n} retries on the way|{n} rows took the long way, {x} said|In {n} ms the drive was full
+file {R}.txt|{R} {R} {R}|run {R} again|key={R}{n}|{x} asked why it was slow.|Signed, {x}|The step by {R} was slow.|a {R} of {x}|{h},{D},{h},{h},{D},{D},{h}|{R}{n}:{h},{D},{h},{D}|{D}, {D}, {h}|values ({D}, {D}, {n})
+"opened": "2024-01-214"|ALTER ROLE app3 {R} BY "x9"|SELECT {R}, {R} FROM {R}_{n}|export {R}={n}|def {R}(rows):|import {R}|{R} {R} = {n}|{x} and {R} were merged.|{G} {C} of {x} was {n}.|The step kept {G} {C} low.
+set {G} {C} to {n}|{G} {C}: {n}|- {G} {C}|{G} {C} and {C} of {x} are kept.|In short, {G} {C} fell. {G} {C} rose.|## {C} {G} the {C} of {x} rise?|{C} {G} a {C} still take {n}?|Lot {B} went back to the press.
+Bill {B} was paid by {x}.|{x} ships build {B} next week.|The counter stood at {T} when {x} began.|subnet 10.{n}.7.0/16 holds {x}|hash {R} of {x}|mention @{x} or use #{n}|ratio @{n} and gain x@{n}
+Row 15 of the plan covers {x}.|Lane 2 is slow, lane 7 is not.|A street, a road and a way are all edges here.|Mr. and Dr. are cut off by {x}.|Drop the note once {x} was read.|Count frank remarks on {x}.
+A grace of {n} days holds for {x}.|{n} rows hit: {B}|{x} owns it.|{x} found it.|Pennies saved by {x}: {n}|art, sound and maps are kept apart by {x}|The court of {x} has {n} notes.|{G} {C} was {n} before {x} came.
+In {n} s. {G} {C} shrank.|why does {G} {C} take {n}?|All {G} {C} of {x}|No {G} {C} was left.|{G}: {C} and {C}|Read {G} {C} first.|When {G} {C} ends, {C} {G} starts.|{C}, {G} {C}, {C}|{n} {G} {C}|the {G} {C}
+a {G} {C} of {n}|new {C} for {G} {C}|{R} {K} failed.|The {R} {K} is down.|Restart {R} {K} at night.|{R} {K} and {R} {K}|see {R} {K}, page {n}|{K} {R} took {n} ms|{R} {K}: {n}|Deploy {R} {K} to {x}.|{K} of {R} {K}
+{w} {w} {R} {w} {w}.|{w} {R} {w}|{w} {w} {R}, {w} {w} {n}|{R}: {w} {w}|{w}={R}|{w}: {R}|{w} {w} by {R}.|{w} {w} by {x}.|{w} {w} to {R}.|{R} {w} {w} {w}.|{x} {w} {w}|{w} {n} {w} {B}|{w} {B} {w}|{w}={B}|"{w}": "{B}"|job {B}
+{w} number {B}|ref {B} of {x}|{D} {w}|{w} {h}|pid={D}|seq {D}|{D} rows|lot {B}, crate {n}|opened on 2024-03-0{n}|from 2024-05-1{n} to 2024-06-11|port 80{n} of 10.2.{n}.4|size {D} bytes|ticket #{D}|{w} {x}: {n}, {n}, {n}
+v{n}.{n}|step {n} of {n}|{n} {w} and {n} {w} were {w}|range {D}-{D}|ISBN {D}|order no {B}|parcel {D} left|line {n}: {R}({D})
+{U}|{U}|url={U}|{w}={U}|"{w}": "{U}"|connect("{U}")|{w} {w} {U} {w}|export {R}={U}|client -u root -p'{R}'|client -u app -p'{R}{n}' {w}|tool -h {w} -u {R} -p {R}|dump -u {w} {w}|{R} {R} {K} {K} {w}|The {K} Had Finished. {R} {K} At {n}|{n} ms. {K} {w}|in {n} Ms. {K} {w} {w}|took {n} Ms. Later {w}|{w} {n} MS. {K}: {w}|{n} Ms. {G} {C} {w}|{w} {n} ms. {G} {C} {w}|After {n} ms.   {K}   {w}|{w} {w}. Dr. {K} {w}|{w} {w}. Dr. Later {w}|{w} with {w}\n{B}. {w}|{w} build\n{B}|{w} Build {B}. {K} {w}|-----BEGIN {V} PRIVATE KEY-----|# -----END {V} PRIVATE KEY-----|  -----BEGIN {V} PUBLIC KEY-----|{V} ERROR {w}|{V} NOT NULL|{w} {V} PRIMARY KEY|{V} {V} FAILED: {n}|{w} {V} TABLE {w}|user: {G} {C} at {n} {w}|{w} {w}. {G} {C} At {n} {w}|user: {G} {C} {w} {n}|assistant: {G} {C} {w}|{w}: {G} {C} at {n}|{w} {w} {G} {C} at {n} {w}|{G} {C} at {n} {w} {x}|user: {w} {G} {C} {w}|user: {C} {C} {w} {n}|CREATE USER {w} IDENTIFIED BY "{R}!{R}{n}"|GRANT {K} TO {w} IDENTIFIED BY '{R}{n}{R}';""".replace("\n", "|").split("|")
 
 
 #: Surnames that are short, or that are common words and known as such in training.
@@ -394,7 +419,8 @@ COMMON_SURNAMES = "Kim Lee Cox Ng Li Fox May Brown Short Stone Field Banks Price
 PLAIN_WORDS = "engine cache planner sources step rows order report filter form version serial batch queue record feedback rules layouts notes".split()
 
 
-def _made_up(rng: random.Random, given: list[str]) -> tuple[str, list[tuple[int, int, str]]]:
+def _made_up(rng: random.Random, given: list[str], having: list[str] = WITH, lacking: list[str] = WITHOUT) -> tuple[str, list[tuple[int, int, str]]]:
+    """A sentence with persons' data, or one without, and where its segments are."""
     pick, d = rng.choice, lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     syllables = lambda k: "".join(pick("bdfghjklmnprstvz") + pick("aeiou") for _ in range(k))
 
@@ -424,7 +450,7 @@ def _made_up(rng: random.Random, given: list[str]) -> tuple[str, list[tuple[int,
         return pick([f"+1 ({a}) 555-{b}", f"({a}) 555 {b} ext. {d(2)}", f"{a}-555-{b}", f"{a}.555.{b}", f"{a} five five five {b}", f"1{a}555{b}", f"+44 20 7946 {b}", f"+44 (0)7700-900-{d(3)}", f"+33 1 99 00 {d(2)} {d(2)}", f"01.99.00.{d(2)}.{d(2)}", f"+49 (0)30 23125 {d(3)}", f"+49 30 {d(7)}", f"0{d(3)} {d(6)}", f"({a}) {d(3)}-{b}", f"00{pick(['61', '44', '33', '1'])} {a} {d(3)} {d(3)}"])
 
     def ident() -> str:
-        return pick([f"9{d(2)}-{d(2)}-{d(4)}", f"{d(3)}-{d(2)}-{d(4)}", f"9{d(2)} {d(2)} {d(4)}", f"9{d(8)}", f"XK-{d(3)}.{d(3)}.{d(2)}", f"XK{d(7)}", f"ZZ{d(6)}{pick('ABCD')}", f"{pick('456789')}{d(10)}", f"9{d(8)}", f"{d(9)}", f"{pick('ABGHJQQ')}{pick('BCGHQQ')} {d(2)} {d(2)} {d(2)} {pick('ABCD')}"])
+        return pick([f"9{d(2)}-{d(2)}-{d(4)}", f"{d(3)}-{d(2)}-{d(4)}", f"9{d(2)} {d(2)} {d(4)}", f"9{d(8)}", f"XK-{d(3)}.{d(3)}.{d(2)}", f"XK{d(7)}", f"ZZ{d(6)}{pick('ABCD')}", f"{pick('456789')}{d(10)}", f"{pick('456789')}{d(10)}", f"{pick('456789')}{d(10)}", f"9{d(8)}", f"{d(9)}", f"{pick('ABGHJQQ')}{pick('BCGHQQ')} {d(2)} {d(2)} {d(2)} {pick('ABCD')}"])
 
     def address() -> str:
         st = pick([syllables(3).capitalize(), "Old " + syllables(3).capitalize(), syllables(2).capitalize() + " Hollow"])
@@ -432,18 +458,20 @@ def _made_up(rng: random.Random, given: list[str]) -> tuple[str, list[tuple[int,
         a = pick([f"{rng.randint(1, 900)} {st} {pick(['Street', 'St.', 'Ave', 'Road', 'Way', 'Dr', 'Lane'])}, {town}", f"{rng.randint(1, 900)} {st} Blvd Apt {rng.randint(1, 30)}{pick('ABC')}, {town} {d(5)}", f"Flat {rng.randint(1, 30)}, {rng.randint(1, 99)} {st} Road, {town}", f"{rng.randint(1, 99)} bis, rue {st}, {d(5)} {town}", f"{st.replace(' ', '')}straße {rng.randint(1, 50)}a, {d(5)} {town}", f"{rng.randint(1, 99)} {st} {pick(['Close', 'Lane'])}, {town} TQ0 {d(1)}ZZ", f"PO Box {d(4)}, {town}", f"{rng.randint(1, 900)} {st} Way\n{town} {d(5)}"])
         return pick([a] * 6 + [a.lower(), a.upper()])
 
+    secret = lambda: "".join(pick([syllables(2), syllables(1).capitalize(), d(3), pick("!*^_-#+.~"), d(1)]) for _ in range(rng.randint(3, 6)))
     word = syllables(rng.randint(2, 4))
     spelt = pick([str.lower, str.capitalize, str.capitalize, str.upper, str.swapcase])
     make = {
-        "G": (lambda: spelt(pick(given)), ""), "C": (lambda: pick([str.lower, str.lower, spelt])(pick(PLAIN_WORDS)), ""),
+        "U": (lambda: f"{pick(['redis', 'amqp', 'postgresql', 'https', 'jdbc:mysql', 'smtp'])}://{pick(['svc', 'root', 'app', syllables(2)])}:{secret()}@{pick(['db', 'cache', 'mail.' + syllables(2), 'dept'])}.{syllables(3)}.{pick(['example', 'test', 'com'])}:{d(4)}/{syllables(2)}", ""),
+        "V": (lambda: syllables(rng.randint(2, 4)).upper(), ""), "w": (lambda: pick(FILLERS), ""), "K": (lambda: pick(THINGS), ""), "G": (lambda: spelt(pick(given)), ""), "C": (lambda: pick([str.lower, str.lower, spelt])(pick(PLAIN_WORDS)), ""),
         "N": (name, "NAME"), "E": (mail, "EMAIL"), "P": (phone, "PHONE"), "I": (ident, "ID_NUMBER"), "A": (address, "ADDRESS"), "x": (lambda: pick(["Kilnworth", "Foxhall", "engine", "cache"]), ""), "n": (lambda: str(rng.randint(2, 4000)), ""),
-        "R": (lambda: pick([word, word.capitalize(), word.upper(), word + word]), ""), "B": (lambda: pick([f"{d(4)}-{d(3)}-{d(2)}", f"2024-{d(4)}-{d(3)}", f"{d(4)}.{d(2)}.{d(1)}", d(5), f"{d(3)}-{d(3)}-{d(2)}", f"2024-{d(3)}-{d(3)}"]), ""), "T": (lambda: f"1718{d(7)}", ""),
+        "R": (lambda: pick([word, word.capitalize(), word.upper(), word + word]), ""), "B": (lambda: pick([f"{d(4)}-{d(3)}-{d(2)}", f"2024-{d(4)}-{d(3)}", f"{d(4)}.{d(2)}.{d(1)}", f"{d(4)}.{d(1)}.{d(2)}", d(5), f"{d(3)}-{d(3)}-{d(2)}", f"2024-{d(3)}-{d(3)}"]), ""), "T": (lambda: f"1718{d(7)}", ""),
         "D": (lambda: f"{pick('123456789')}{d(pick([7, 8, 9, 10]))}", ""), "h": (lambda: pick([f"{d(4)}a{d(2)}fe{d(1)}", f"de{d(7)}", f"{d(3)}{pick('abcdef')}{d(6)}"]), ""),
     }
     out, gold = "", []
     if rng.random() < 0.45:
         out = pick(["ticket: CQ X000003119\n", "opened=2024-02-01; ", '"rows affected": "812", ', "severity: 3\n", "retries: 5\nrows affected: 20391\n", "depends on=cache; ", "user: ", "- ", "The planner moved several sources. ", "12. ", "// ", "# ", "> "])
-    for part in re.split(r"(\{\w\})", pick(WITH if rng.random() < 0.6 else WITHOUT)):
+    for part in re.split(r"(\{\w\})", pick(having if rng.random() < 0.6 else lacking)):
         if re.fullmatch(r"\{\w\}", part) and part[1] in make:
             f, kind = make[part[1]]
             v = f()
@@ -455,18 +483,23 @@ def _made_up(rng: random.Random, given: list[str]) -> tuple[str, list[tuple[int,
     return out + pick(["", " The step was slow.", "\n", " Later it stopped"]), gold
 
 
+#: Fillers: words of any text.
+FILLERS = "once later note list early paper seen from about with under both near again part asked sent copy plan room half open kept time found below quite three left told next week gone".split()
+THINGS = "Engine Cache Planner Server Table Index Queue Worker Report Service Team Office Press House Bank Station North Street Valley Group".split()
+
+
 #: So many made-up sentences train the weights, seen so often.
-SENTENCES, EPOCHS = 3000, 4
+SENTENCES, EPOCHS = 4000, 4
 
 
-def train(common: set[str], given: set[str], seed: int = 11) -> dict[str, float]:
+def train(common: set[str], given: set[str], seed: int = 11, having: list[str] = WITH, lacking: list[str] = WITHOUT) -> dict[str, float]:
     """Weights of the features, by AdaGrad on the conditional likelihood."""
     rng = random.Random(seed)
-    frequent = {w for s in WITH + WITHOUT for w in _WORD.findall(lower(s))} | {"kilnworth", "foxhall", "engine", "cache", "five"} | {"old", "new", "little", "hollow", "planner", "moved", "several", "sources", "step", "slow", "later", "stopped", "user"}
-    frequent |= {w.lower() for w in COMMON_SURNAMES if len(w) > 3} | set(PLAIN_WORDS)
+    frequent = {w for s in having + lacking for w in _WORD.findall(lower(s))} | {"kilnworth", "foxhall", "engine", "cache", "five"} | {"old", "new", "little", "hollow", "planner", "moved", "several", "sources", "step", "slow", "later", "stopped", "user"}
+    frequent |= {w.lower() for w in COMMON_SURNAMES if len(w) > 3} | set(PLAIN_WORDS) | set(FILLERS) | {w.lower() for w in THINGS}
     tagger = Tagger(frequent | {w for w in common if len(w) < 4}, given)
     first = sorted(g for g in given if g.isalpha()) or ["maria", "peter", "robert"]
-    data = [_made_up(rng, first) for _ in range(SENTENCES)]
+    data = [_made_up(rng, first, having, lacking) for _ in range(SENTENCES)]
     seen: dict[str, float] = defaultdict(lambda: 1e-6)
     for _ in range(EPOCHS):
         rng.shuffle(data)
@@ -505,10 +538,13 @@ def common_words(texts: DataFrame, text: str, share: float, least: int) -> set[s
 COMMON_SHARE, COMMON_LEAST = 0.002, 12
 
 
-def find(texts: DataFrame, key: list[str], text: str, given: set[str], placeholders: bool = False) -> DataFrame:
+def find(texts: DataFrame, key: list[str], text: str, given: set[str], placeholders: bool = False, common_share: float = COMMON_SHARE, common_least: int = COMMON_LEAST) -> DataFrame:
     """``key``, ``kind`` and ``n``: how many segments of each kind a text has; or with ``placeholders``, ``key``
     and ``redacted``: each text with its segments replaced by ``[KIND]`` and all else unchanged.
 
+    Words that stand in ``common_share`` of all different texts, and in ``common_least``, are common; others are rare, which
+    is a feature of names and no condition: beside a given name, title or initial any word is proposed.
+
     Null and empty texts hold nothing: they have no rows, or come out as they are. Whole texts are read,
     whatever their length. Row by row: repeated rows are repeated in the result. Further columns are
     dropped, whatever their names; an empty table gives no rows.
@@ -516,7 +552,7 @@ def find(texts: DataFrame, key: list[str], text: str, given: set[str], placehold
     spark = texts.sparkSession
     ship(spark)
     full = texts.where(F.col(text) != "")
-    common = common_words(full.select(text).distinct(), text, COMMON_SHARE, COMMON_LEAST)
+    common = common_words(different(full, key, text), text, common_share, common_least)
     shared = spark.sparkContext.broadcast((common, given, train(common, given)))
     rows = (texts if placeholders else full).select(*key, text)
     n = len(key)

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import BROADCAST_BYTES, checked_broadcast, once, ship
+from .texts import different
 
 #: A word of the dictionary stands in so many different texts at least, and in one of so many.
 WORD_ROWS, WORD_SHARE = 3, 20_000
@@ -60,11 +61,8 @@ def word_counts(df: DataFrame, key: str, text: str, least_rows: int = WORD_ROWS,
             found[""] = b.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *(pa.array([c[w] for w in every], pa.int64()) for c in (found, inside))], ["word", "n", "inside"])
 
-    # equal texts count once: where a hash stands more than once, the row with the smallest key; no text is shuffled
-    texts = df.select(F.col(key).alias("__k"), F.col(text).alias("__t"), F.xxhash64(text).alias("__h"), F.length(text).alias("__l")).where("__t IS NOT NULL")
-    again = texts.groupBy("__h", "__l").agg(F.min("__k").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-    texts = texts.join(checked_broadcast(again)[0], ["__h", "__l"], "left").where("__first IS NULL OR __first = __k")
-    counts = texts.select("__t").mapInArrow(run, "word string, n bigint, inside bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside")).checkpoint()
+    texts = different(df, [key], text)
+    counts = texts.mapInArrow(run, "word string, n bigint, inside bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside")).checkpoint()
     total = (counts.where("word = ''").first() or ["", 0])[1]
     words = counts.where((F.col("n") >= max(least_rows, total / one_in)) & (F.col("n") >= F.col("inside")) & (F.col("word") != ""))
     return {r.word: r.n for r in words.select("word", "n").collect()}

@@ -209,6 +209,35 @@ def test_crf_on_held_out_sentences():
     assert hit / found > 0.95 and hit / gold_n > 0.95
 
 
+@pytest.mark.parametrize("part", [0, 1])
+def test_crf_on_held_out_templates(part):
+    """Trained on one half of the templates, tested on sentences of the other: their contexts are new to it."""
+    given = {"maria", "peter", "robert", "anna", "magdalena", "gregory", "samuel", "ines"}
+    mine, other = ([t for i, t in enumerate(ts) if i % 2 == part] for ts in (pii.WITH, pii.WITHOUT)), ([t for i, t in enumerate(ts) if i % 2 != part] for ts in (pii.WITH, pii.WITHOUT))
+    having, lacking = mine
+    weights = pii.train(set(), given, having=having, lacking=lacking)
+    common = {w for t in pii.WITH + pii.WITHOUT for w in pii.words(t.lower())} | set(pii.FILLERS) | set(pii.PLAIN_WORDS) | {w.lower() for w in pii.THINGS + pii.COMMON_SURNAMES} | {"kilnworth", "foxhall", "planner", "moved", "several", "sources", "step", "slow", "later", "stopped", "opened", "ticket", "severity", "retries", "rows", "affected", "depends", "cache", "user", "old", "new", "little", "hollow"}
+    tagger, rng = pii.Tagger(common, given, weights), random.Random(77)
+    having, lacking = other
+    hit = found = gold_n = 0
+    for _ in range(1500):
+        text, gold = pii._made_up(rng, sorted(given), having, lacking)
+        got = tagger.decode(text)
+        hit, found, gold_n = hit + len(set(got) & set(gold)), found + len(got), gold_n + len(gold)
+    print("held out by template: precision", hit / found, "recall", hit / gold_n)
+    assert hit / found > 0.85 and hit / gold_n > 0.85
+
+
+def test_frequent_and_short_surnames(spark):
+    """A surname in a share of all rows, surnames of two and three letters, given names that no list holds."""
+    given = {"maria", "david", "anna", "peter"}
+    rows = [(i, f"The export was checked by Maria Telokanife, row {i} of the plan was kept." if i % 50 == 0 else f"The export of row {i} was kept as the plan asked.") for i in range(3000)]
+    more = ["Reviewed by David Kim on 2024-03-02.", "Reviewed by Anna Li", "Signed, Peter Fox", "A letter from Tavonel Kim arrived on Monday.", "Thanks to Anna Brown for the fix."]
+    df = spark.createDataFrame(rows + [(9000 + i, t) for i, t in enumerate(more)] + [(9900, None), (9901, "")], "id int, content string")
+    got = {r.id for r in pii.find(df, ["id"], "content", given).where("kind = 'NAME'").collect()}
+    assert got >= {i for i in range(0, 3000, 50)} and got >= {9000, 9001, 9002, 9003, 9004} and len(got) == 65
+
+
 def test_dynamic_program_is_the_best_set():
     """Against all sets of candidates without overlap."""
     from itertools import combinations

@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checked_broadcast, shared_dir, ship
+from ..session import BROADCAST_BYTES, checked_broadcast, once, shared_dir, ship
 
 _OTHER = re.compile(r"[\W_]+")
-_LINE = re.compile(r"\s*([^:=\n]{1,80}?)\s*[:=]\s*(\S.*?)\s*$")
-_PART = re.compile(r"\s*([^:=;\n]{1,80}?)\s*=\s*(\S[^=]*?)\s*$", re.S)
+_LINE = re.compile(r"\s*([^:=\n]+?)\s*[:=]\s*(\S.*?)\s*$")
+_PART = re.compile(r"\s*([^:=;\n]+?)\s*=\s*(\S[^=]*?)\s*$", re.S)
 
 
 def leaf(s: str) -> str:
@@ -135,17 +135,24 @@ def _components(pairs: DataFrame) -> DataFrame:
         state = new.drop("moved")
 
 
-#: Rows of one group spread over so many tasks when they meet their first record.
-SALT = 16
+#: Rows of a group with more than so many meet its first record in several tasks, one for each so many.
+HOT = 100_000
 
 
 def _with_first(rows: DataFrame, firsts: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join of rows with one row for each group, hot groups spread over several tasks."""
-    spread = firsts.withColumn("__s", F.explode(F.array(*[F.lit(i) for i in range(SALT)])))
-    return rows.withColumn("__s", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).join(spread, [*on, "__s"], how).drop("__s")
+    """Join of rows with one row for each group, ``firsts``, of which ``__n`` tells how large the group is.
+
+    Only the rows of hot groups are spread, and only the firsts of these are copied. There are at most as many hot groups
+    as ``HOT`` goes into the number of rows.
+    """
+    salts = F.ceil(F.col("__n") / HOT).cast("int")
+    hot, _ = checked_broadcast(firsts.where(F.col("__n") > HOT).select(*on, salts.alias("__salts")))
+    left = rows.join(hot, on, "left").withColumn("__s", F.when(F.col("__salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), F.col("__salts")).cast("int"))).drop("__salts")
+    right = firsts.withColumn("__s", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__n")
+    return left.join(right, [*on, "__s"], how).drop("__s")
 
 
-def copies(records: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
+def copies(records: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """All copies: ``table_name``, ``kept_id``, ``copy_id``, ``kept_id`` being the smallest id of the copies.
 
     ``records`` has table_name, id and content; copies are found within a table. Rows repeated under one id
@@ -160,30 +167,26 @@ def copies(records: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
     spark = records.sparkSession
     shared_dir(spark)
     ship(spark)
-    records = records.select("table_name", "id", "content").where("id IS NOT NULL AND content IS NOT NULL")
-    nodes = records.mapInArrow(_digests, "table_name string, id string, l string, f string")
-    nodes = nodes.groupBy("table_name", "id").agg(F.min(F.struct("l", "f")).alias("d")).select("table_name", "id", "d.*").checkpoint()
+    records = once(records.where("id IS NOT NULL AND content IS NOT NULL"), ["table_name", "id"], "content", broadcast_bytes)
+    nodes = records.mapInArrow(_digests, "table_name string, id string, l string, f string").checkpoint()
     # only digests that stand more than once are joined back; all other rows have their key already
-    by_l = nodes.groupBy("table_name", "l").agg(F.min("f").alias("f0"), (F.min("f") != F.max("f")).alias("mixed"), F.count(F.lit(1)).alias("n")).where("n > 1").checkpoint()
+    by_l = nodes.groupBy("table_name", "l").agg(F.min("f").alias("f0"), (F.min("f") != F.max("f")).alias("mixed"), F.count(F.lit(1)).alias("__n")).where("__n > 1").checkpoint()
     if by_l.where("mixed").limit(1).count():
         keys = _components(nodes.where("f IS NOT NULL").select("table_name", "l", "f").distinct())
         # every digest of fields takes part, as a mixed one may link several
-        own = nodes.select("table_name", "l").distinct().join(keys, ["table_name", "l"], "left").select("table_name", "l", F.coalesce("key", "l").alias("key"))
+        own = nodes.groupBy("table_name", "l").agg(F.count(F.lit(1)).alias("__n")).join(keys, ["table_name", "l"], "left").select("table_name", "l", F.coalesce("key", "l").alias("key"), "__n")
         keyed = _with_first(nodes, own, ["table_name", "l"])
     else:
-        keyed = _with_first(nodes, by_l.select("table_name", "l", "f0"), ["table_name", "l"], "left").withColumn("key", F.coalesce("f0", "f", "l")).drop("f0")
+        keyed = _with_first(nodes, by_l.select("table_name", "l", "f0", "__n"), ["table_name", "l"], "left").withColumn("key", F.coalesce("f0", "f", "l")).drop("f0")
     keyed = keyed.checkpoint()
-    groups = keyed.groupBy("table_name", "key").agg(F.min("id").alias("kept_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    groups = keyed.groupBy("table_name", "key").agg(F.min("id").alias("kept_id"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
     members = _with_first(keyed, groups, ["table_name", "key"]).checkpoint()
 
-    small, _ = checked_broadcast(members.select("table_name", "id", "l", "f"), broadcast_rows)
+    small, _ = checked_broadcast(members.select("table_name", "id", "l", "f"), broadcast_bytes)
     again = records.join(small, ["table_name", "id"]).select("table_name", "id", "l", "f", "content")
-    forms = again.groupBy("table_name", "id", "l", "f").agg(F.min("content").alias("content")).mapInArrow(
-        _forms, "table_name string, id string, l string, f string, plain string, ordered string"
-    )
-    forms = forms.checkpoint()
-    first_l = forms.groupBy("table_name", "l").agg(F.min_by("plain", "id").alias("p0"))
-    first_f = forms.where("f IS NOT NULL").groupBy("table_name", "f").agg(F.min_by("ordered", "id").alias("o0"))
+    forms = again.mapInArrow(_forms, "table_name string, id string, l string, f string, plain string, ordered string").checkpoint()
+    first_l = forms.groupBy("table_name", "l").agg(F.min_by("plain", "id").alias("p0"), F.count(F.lit(1)).alias("__n"))
+    first_f = forms.where("f IS NOT NULL").groupBy("table_name", "f").agg(F.min_by("ordered", "id").alias("o0"), F.count(F.lit(1)).alias("__n"))
     same_l = _with_first(forms, first_l, ["table_name", "l"]).where(F.col("plain") == F.col("p0")).select("table_name", "id")
     same_f = _with_first(forms.where("f IS NOT NULL"), first_f, ["table_name", "f"]).where(F.col("ordered") == F.col("o0")).select("table_name", "id")
     # a row that differs from the first record under every digest is no copy after all

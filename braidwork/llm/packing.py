@@ -125,7 +125,9 @@ def pack(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     table = spark.createDataFrame(runs or [(0, 0, 0, 0, 1)], "size bigint, first_rank bigint, n_items bigint, first_container bigint, each bigint")
     groups = max(1, -(-max(counts.values(), default=0) // RANKED_TOGETHER))
 
-    pieces = pieces.withColumn("__g", F.pmod(F.col("__h"), F.lit(groups)).cast("int"))
+    # what needs no room is not ranked: all of it would meet in one task
+    nothing = pieces.where("n_tokens = 0").select(key, "piece", "start", "n_tokens", F.lit(0).cast("bigint").alias("container"))
+    pieces = pieces.where("n_tokens > 0").withColumn("__g", F.pmod(F.col("__h"), F.lit(groups)).cast("int"))
     if groups == 1:
         ranked = pieces.withColumn("__r", F.row_number().over(Window.partitionBy("n_tokens").orderBy("__h", key, "piece")) - 1)
     else:
@@ -139,4 +141,4 @@ def pack(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
         F.broadcast(table), (F.col("n_tokens") == F.col("size")) & (F.col("__r") >= F.col("first_rank")) & (F.col("__r") < F.col("first_rank") + F.col("n_items")), "left"
     )
     at = F.col("first_container") + F.floor((F.col("__r") - F.col("first_rank")) / F.col("each"))
-    return placed.select(key, "piece", "start", "n_tokens", F.when(F.col("n_tokens") > 0, at).otherwise(F.lit(0)).cast("bigint").alias("container"))
+    return placed.select(key, "piece", "start", "n_tokens", at.cast("bigint").alias("container")).unionByName(nothing)

@@ -95,7 +95,7 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     capacity, _ = _limit(spark, d, "pack_document")
     by = p8_containers(spark, d).where("n_tokens > 0").groupBy("container").agg(F.sum("n_tokens").alias("used"), F.count(F.lit(1)).alias("n_items"))
     return by.agg(
-        F.count(F.lit(1)).alias("n_containers"), F.sum("used").alias("n_tokens"), F.sum("n_items").alias("n_items"), F.max("used").alias("fullest"), (F.sum("used") / (F.count(F.lit(1)) * capacity)).alias("fill")
+        F.count(F.lit(1)).alias("n_containers"), F.ceil(F.sum("used") / capacity).alias("least_containers"), F.sum("used").alias("n_tokens"), F.sum("n_items").alias("n_items"), F.max("used").alias("fullest"), (F.sum("used") / (F.count(F.lit(1)) * capacity)).alias("fill")
     )
 
 

@@ -337,3 +337,18 @@ def test_damage_that_lost_bytes(spark):
     got = {r.doc_id: r.restored for r in mojibake.repair(df, "doc_id", "text").collect()}
     assert set(got) == {10001, 10002, 10003, 10004, 10005} and got[10003] == bad[3] and got[10004] == bad[4]
     assert {r.doc_id for r in mojibake.find(df, "doc_id", "text").collect()} == set(got)
+
+
+# -- copies: long keys and hot groups ---------------------------------------------------------------------------
+
+
+def test_copies_with_long_keys_and_hot_groups(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "HOT", 3)
+    k = "a key that goes on " * 9
+    a, b = f"{k}: 1\nother: two\nthird: 3", f"third: 3\n\n{k}: 1\nother: TWO"
+    rows = [("t", "a1", a), ("t", "a2", b), ("t", "a2", b), ("u", "a3", a)] + [("t", f"h{i:02}", "Hot  text" if i % 2 else "hot, TEXT!") for i in range(40)] + [("t", f"z{i}", "...") for i in range(5)] + [("t", "n", None), ("t", None, a)]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "table_name string, id string, content string, l string")
+    for limit in (1 << 20, 1):
+        got = {(r.table_name, r.kept_id, r.copy_id) for r in merkle.copies(df, limit).collect()}
+        assert got == {("t", "a1", "a2")} | {("t", "h00", f"h{i:02}") for i in range(1, 40)} | {("t", "z0", f"z{i}") for i in range(1, 5)}
+    assert {r.kept_id: r.n_copies for r in merkle.collapse(df).where("table_name = 't'").collect()} == {"a1": 2, "h00": 40, "z0": 5}

@@ -3,11 +3,15 @@
 Names are read into parts: a core (surname, or the invented word of a firm or project), given names and
 initials, the words that describe a firm, its legal form, a version. What given names and describing words
 there are is learnt from how often tokens stand in all names. Candidates share a suffix of the core, or of
-its mirror image, of at least five characters; a suffix that is overly common is refined with other fields
-(initial, version, describing words) and then lengthened, up to the whole core, so no pair of equal cores
-is lost. Pairs are compared by the ratio of the longest common subsequence of their cores and by whether
-their other parts agree. Full forms that agree are one entity; a short form (initials, or a core alone)
-joins the one entity that it can mean.
+its mirror image, of at least five characters. That of five stands for all longer ones, as who shares a
+longer one shares it too; where it is overly common it is refined with other fields (initial, version,
+describing words) and lengthened, and blocks that are still large are shared by several tasks, so none is
+dropped. Long cores are also indexed by suffixes without their last letters, as they may have a slip in each
+end. Equal cores always meet; where very many do, by given names, initials and nicknames.
+
+Pairs are compared by the ratio of the longest common subsequence of their cores and by whether their other
+parts agree. Full forms that agree are one entity; a short form (initials, or a core alone) joins the one
+entity that it can mean.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import checked_broadcast, ship
 
 # Titles, particles, legal forms.
 TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "professor", "sir", "herr", "frau", "mme"}
@@ -41,6 +45,10 @@ _PROJECT = [
 _TOKEN = re.compile(r"[a-z0-9]+")
 _CAPITALS = re.compile(r"^((?:[^\W\d_a-z]|['’-]){4,})\s+([A-Z]{1,2})$")
 MIN_SUFFIX, COMMON = 5, 200
+#: Cores of so many letters may have a slip in each end and still be alike; they are indexed at so many places more.
+LONG_CORE, SKIPPED = 11, 3
+#: Cores are alike from this ratio of the longest common subsequence on.
+ALIKE = 0.9
 
 
 def fold(s: str) -> str:
@@ -207,7 +215,7 @@ def agree(a: dict, b: dict, lex: Lexicon) -> int:
     if a["kind"] != b["kind"]:
         return 0
     same = a["core"] == b["core"]
-    if not same and not (min(len(a["core"]), len(b["core"])) >= 5 and (one_slip(a["core"], b["core"]) or (lcs_ratio(a["core"], b["core"]) >= 0.9 and a["kind"] != "J"))):
+    if not same and not (min(len(a["core"]), len(b["core"])) >= 5 and (one_slip(a["core"], b["core"]) or (lcs_ratio(a["core"], b["core"]) >= ALIKE and a["kind"] != "J"))):
         return 0
     if a["kind"] == "J":
         return 2 if a["version"] == b["version"] else 0
@@ -256,11 +264,11 @@ def is_short(p: dict) -> bool:
 PARTS = ["kind", "core", "given", "initials", "words", "legal", "version"]
 
 
-def learn(names: DataFrame, nicknames: DataFrame) -> Lexicon:
+def learn(names: DataFrame, nicknames: DataFrame, one_in: int = 1500, least: int = 12) -> Lexicon:
     """Given names and describing words by how often tokens stand in all names, and the table of nicknames.
 
-    A token counts as frequent if it stands in one name of 1,500, and in 12 at least; there can be no more
-    than a few thousand such tokens, however many names there are.
+    A token counts as frequent if it stands in one name of ``one_in``, and in ``least`` at least; there can be no more
+    than ``one_in`` times the tokens of a name, however many names there are.
     """
     nick: dict[str, set[str]] = {}
     given: set[str] = set()
@@ -283,7 +291,7 @@ def learn(names: DataFrame, nicknames: DataFrame) -> Lexicon:
     total = names.count()
     counts = names.select("name").mapInArrow(run, "token string, legal boolean").groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("legal").alias("firms"))
     words: list[str] = []
-    for r in counts.where(F.col("n") >= max(12, total // 1500)).collect():
+    for r in counts.where(F.col("n") >= max(least, total // one_in)).collect():
         t = r.token
         if len(t) < 3 or t in LEGAL or t in TITLES or t in PARTICLES or t in ("the", "project", "proj", "version") or re.fullmatch(r"v?\d+", t):
             continue
@@ -335,10 +343,10 @@ def _recurring_nicknames(parsed: DataFrame, lex: Lexicon) -> dict[str, set[str]]
     return {k: v for k, v in out.items() if len(v) == 1}
 
 
-def lexicon_of(rows: DataFrame, nicknames: DataFrame) -> Lexicon:
+def lexicon_of(rows: DataFrame, nicknames: DataFrame, one_in: int = 1500, least: int = 12) -> Lexicon:
     """What ``learn`` finds in rows (id, name), with the nicknames that recur beside full names."""
     ship(rows.sparkSession)
-    lex = learn(rows, nicknames)
+    lex = learn(rows, nicknames, one_in, least)
     more = _recurring_nicknames(_parsed(rows, lex).checkpoint(), lex)
     return Lexicon(lex.given, {k: lex.full.get(k, set()) | more.get(k, set()) for k in {*lex.full, *more}}, lex.words)
 
@@ -348,95 +356,155 @@ def _inside(short: str, long: str) -> bool:
     return all(c in it for c in short)
 
 
-def _keys(nodes: DataFrame) -> DataFrame:
-    """(node, key): the suffixes by which nodes are compared; overly common ones refined, then lengthened."""
+def _suffix_keys(nodes: DataFrame) -> DataFrame:
+    """The nodes with ``key``: suffixes of the core and of its mirror image, overly common ones refined, then lengthened."""
     f = F.coalesce(F.nullif(F.col("version"), F.lit("")), F.nullif(F.substring("initials", 1, 1), F.lit("")), F.nullif(F.substring("words", 1, 3), F.lit("")), F.lit(""))
-    ends = nodes.select("node", "kind", "core", f.alias("f"), F.explode(F.array(F.lit("s"), F.lit("m"))).alias("side"))
-    ends = ends.withColumn("t", F.when(F.col("side") == "s", F.reverse("core")).otherwise(F.col("core")))  # the suffix, read backwards
+    skips = F.when(F.length("core") >= LONG_CORE, F.sequence(F.lit(1), F.lit(SKIPPED + 1))).otherwise(F.array(F.lit(1)))
+    ends = nodes.select("*", f.alias("__f"), F.explode(F.array(F.lit("s"), F.lit("m"))).alias("__side"), F.explode(skips).alias("__at"))
+    ends = ends.withColumn("__t", F.when(F.col("__side") == "s", F.reverse("core")).otherwise(F.col("core")))  # the suffix, read backwards
+    part = lambda n: F.substr("__t", F.col("__at"), F.lit(n))
+    steps = [part(MIN_SUFFIX), F.concat_ws("|", part(MIN_SUFFIX), "__f"), F.concat_ws("|", part(MIN_SUFFIX + 2), "__f"), F.concat_ws("|", part(MIN_SUFFIX + 2), "__f", F.length("__t").cast("string"))]
     out, level = None, ends
-    steps = [
-        F.substring("t", 1, MIN_SUFFIX),
-        F.concat_ws("|", F.substring("t", 1, MIN_SUFFIX), "f"),
-        F.concat_ws("|", F.substring("t", 1, MIN_SUFFIX + 2), "f"),
-        F.concat_ws("|", F.substring("t", 1, MIN_SUFFIX + 2), "f", F.length("t").cast("string")),
-        F.concat_ws("|", "t", F.lit("whole")),
-    ]
     for i, k in enumerate(steps):
-        keyed = level.withColumn("key", F.concat_ws("|", F.lit(str(i)), "kind", "side", k))
-        if i == len(steps) - 1:
-            done, level = keyed, None
-        else:
+        keyed = level.withColumn("key", F.concat_ws("|", F.lit(str(i)), "kind", "__side", k))
+        common = None
+        if i < len(steps) - 1:
             common = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON).select("key").checkpoint()
             if not common.limit(1).count():
-                done, level = keyed, None
-            else:
-                done = keyed.join(common, "key", "left_anti")
-                level = keyed.join(common, "key", "left_semi").drop("key").checkpoint()
-        part = done.select("node", "key")
-        if i:  # equal cores always meet, whatever refining did
-            part = part.unionByName(done.select("node", F.concat_ws("|", F.lit("w"), "kind", "core").alias("key")))
-        out = part if out is None else out.unionByName(part)
-        if level is None:
-            return out.distinct()
-    return out.distinct()
-
-
-def _min_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that each is linked with over any number of edges."""
+                common = None
+        done = keyed if common is None else keyed.join(checked_broadcast(common)[0], "key", "left_anti")
+        done = done.select("node", *PARTS, "key")
+        out = done if out is None else out.unionByName(done)
+        if common is None:
+            break
+        level = keyed.join(checked_broadcast(common)[0], "key", "left_semi").drop("key")
+    return out
+
+
+def _core_keys(nodes: DataFrame, lex: Lexicon) -> tuple[DataFrame, DataFrame | None]:
+    """The nodes with ``key`` by which equal cores meet; and the pairs of short forms and the nodes they ask, if any.
+
+    Where a core has very many nodes, those with given names meet by what two given names that agree have in common: a
+    name that both may stand for, or their first two or last two letters. Short forms of such a core ask the nodes with
+    their initial, or all; there are few, as forms that read alike are one node.
+    """
+    keyed = nodes.withColumn("key", F.concat_ws("|", F.lit("w"), "kind", "core"))
+    hot = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON).select("key").checkpoint()
+    if not hot.limit(1).count():
+        return keyed, None
+    hot, _ = checked_broadcast(hot)
+    many = keyed.join(hot, "key", "left_semi")
+    names = nodes.sparkSession.createDataFrame(sorted((n, f) for n, fs in lex.full.items() for f in fs) or [("", "")], "given string, alias string")
+    every = F.array_distinct(F.concat(F.array("given"), F.coalesce("aliases", F.array().cast("array<string>"))))
+    many = many.join(checked_broadcast(names.groupBy("given").agg(F.collect_set("alias").alias("aliases")))[0], "given", "left").withColumn("aliases", every)
+    full = F.col("kind") == "J"
+    full = full | ((F.col("kind") == "P") & (F.col("given") != "")) | ((F.col("kind") == "O") & (F.col("words") != ""))
+    mark = lambda name, c: F.concat_ws("|", "key", F.lit(name), c)
+    by_name = F.transform("aliases", lambda x: mark("n", x))
+    by_ends = F.transform("aliases", lambda x: mark("p", F.substring(x, 1, 2)))
+    whole = F.when(F.col("kind") == "P", F.array_distinct(F.concat(by_name, by_ends, F.array(mark("q", F.substring(F.reverse("given"), 1, 2)))))).when(F.col("kind") == "O", F.array(mark("o", F.substring("words", 1, 1)))).otherwise(F.array(mark("v", F.col("version"))))
+    meet = many.where(full).withColumn("key", F.explode(whole))
+    # short forms: those with an initial are asked by it, the others by the core
+    first = F.transform("aliases", lambda x: mark("i", F.substring(x, 1, 1)))
+    asked = many.withColumn("__k", F.explode(F.array_distinct(F.concat(F.array(mark("b", F.lit(""))), F.when(F.col("given") != "", first).otherwise(F.array(mark("i", F.substring("initials", 1, 1))))))))
+    ask = many.where(~full).withColumn("key", F.when((F.col("kind") == "P") & (F.col("initials") != ""), mark("i", F.substring("initials", 1, 1))).otherwise(mark("b", F.lit(""))))
+    columns = ["node", *PARTS, "key"]
+    # who asks, and who is asked by none: a node without initial is met by those that have one through the core
+    bare = many.where(~full & (F.col("kind") == "P") & (F.col("initials") == "")).withColumn("key", mark("b", F.lit("")))
+    asks = _sided(ask.unionByName(bare).select(*columns).distinct(), asked.drop("key").withColumnRenamed("__k", "key").select(*columns))
+    return keyed.join(hot, "key", "left_anti").select(*columns).unionByName(meet.select(*columns)), asks
+
+
+def _sided(ask: DataFrame, asked: DataFrame) -> DataFrame:
+    """Pairs of those that ask and those they ask; blocks of many are shared by several tasks."""
+    size, _ = checked_broadcast(asked.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / COMMON).cast("int").alias("__salts")).where("__salts > 1"))
+    one = lambda df: df.join(size, "key", "left").withColumn("__salts", F.coalesce("__salts", F.lit(1)))
+    a = one(ask).withColumn("__s", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)))
+    b = one(asked).withColumn("__s", F.pmod(F.xxhash64("node"), F.col("__salts")).cast("int"))
+    side = lambda df: df.select("key", "__s", F.struct("node", *PARTS).alias("p"))
+    x, y = side(a).withColumnRenamed("p", "a"), side(b).withColumnRenamed("p", "b")
+    pairs = x.join(y, ["key", "__s"]).where("a.node <> b.node")
+    low = F.col("a.node") < F.col("b.node")
+    return pairs.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("b"))
+
+
+def _pairs(nodes: DataFrame, lex: Lexicon) -> DataFrame:
+    """Candidate pairs (a, b) of nodes whose cores are alike, once each; a and b have the node and its parts."""
+    equal, asks = _core_keys(nodes, lex)
+    keyed = _suffix_keys(nodes).unionByName(equal.select("node", *PARTS, "key")).checkpoint()
+    # keys that one node has alone make no pair; blocks of many are shared by several tasks
+    size = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").withColumn("__salts", F.ceil(F.col("__n") / COMMON).cast("int")).drop("__n")
+    rows = keyed.join(size, "key").select("key", "__salts", F.struct("node", *PARTS).alias("p"))
+    a = rows.select("key", F.col("p").alias("a"), F.pmod(F.xxhash64("p.node"), F.col("__salts")).cast("int").alias("__s"))
+    b = rows.select("key", F.col("p").alias("b"), F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)).alias("__s"))
+    # a replaced letter is one edit and two of the subsequence's; a swap is two edits
+    room = F.greatest(F.lit(2), F.floor((F.length("a.core") + F.length("b.core")) * (1 - ALIKE)).cast("int"))
+    alike = (F.abs(F.length("a.core") - F.length("b.core")) <= room) & (F.levenshtein(F.col("a.core"), F.col("b.core")) <= room)
+    met = a.join(b, ["key", "__s"]).where("a.node < b.node").where((F.col("a.core") == F.col("b.core")) | alike).select("a", "b")
+    every = met if asks is None else met.unionByName(asks)
+    return every.groupBy(F.col("a.node").alias("x"), F.col("b.node").alias("y")).agg(F.first("a").alias("a"), F.first("b").alias("b")).select("a", "b")
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    """(node, label) of the nodes at edges (a, b): the smallest node that each is linked with over any number of edges.
+
+    Rows are as many as nodes at edges. Labels are taken from neighbours and then from labels, so the rounds grow with the
+    logarithm of a chain's length.
+    """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    state = nodes.select("node", F.col("node").alias("label")).checkpoint()
+    state = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label").checkpoint()
     while True:
         near = both.join(state.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("l"))
-        new = state.join(near, state.node == near.a, "left").select("node", F.least("label", F.coalesce("l", "label")).alias("label"), (F.col("l") < F.col("label")).alias("moved"))
-        # jump: take the label of one's label as well
-        jump = new.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = new.join(jump, "label", "left").select("node", F.coalesce("next", "label").alias("label"), "moved").checkpoint()
+        new = state.join(near, state.node == near.a).select("node", F.least("label", "l").alias("label"), (F.col("l") < F.col("label")).alias("moved"))
+        # jump: take the label of one's label as well; a label has one row, so only that side is copied where many share it
+        jump, _ = checked_broadcast(state.select(F.col("node").alias("label"), F.col("label").alias("next")).where("label <> next").join(state.select("label").distinct(), "label", "left_semi"))
+        new = new.join(jump, "label", "left").select("node", F.least("label", F.coalesce("next", "label")).alias("label"), "moved").checkpoint()
         if not new.where("moved").limit(1).count():
             return new.select("node", "label")
         state = new.select("node", "label")
 
 
+def _relabel(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels (node, label) after edges (a, b) between labels joined some: only these are walked."""
+    moved, _ = checked_broadcast(_components(edges).select(F.col("node").alias("label"), F.col("label").alias("to")))
+    return labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+
+
 def _only_one(weak: DataFrame, labels: DataFrame) -> DataFrame:
     """Edges (a, b) from each group to the one group of full forms that its weak links lead to; to the one group of
     short forms if they lead to no full one; none where there are several."""
     ends = weak.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b").where("x <> y")
     full = F.when(~F.col("short_b"), F.col("y"))
     one = ends.groupBy("x").agg(F.min(full).alias("lo"), F.max(full).alias("hi"), F.min("y").alias("lo2"), F.max("y").alias("hi2"))
-    return one.where("coalesce(lo = hi, lo2 = hi2)").select(F.col("x").alias("a"), F.coalesce("lo", "lo2").alias("b"))
+    return one.where("coalesce(lo = hi, lo2 = hi2)").select(F.col("x").alias("a"), F.coalesce("lo", "lo2").alias("b")).checkpoint()
 
 
-def resolve(entities: DataFrame, nicknames: DataFrame) -> DataFrame:
+def resolve(entities: DataFrame, nicknames: DataFrame, one_in: int = 1500, least: int = 12) -> DataFrame:
     """(id, entity): the entity of each row, named by its smallest id.
 
     Rows repeated under one id count once (the smallest name stands for them); rows with a null id, or with a
     null name or one without a letter or digit, are no entities. ``entity_type`` and users are not used, as
     they are typed unevenly. Rows whose names read into the same parts are compared as one, so groups of
-    equal names cost no comparisons. Further columns are ignored. An empty table gives no rows.
+    equal names cost no comparisons. Further columns are ignored. An empty table gives no rows. ``one_in`` and
+    ``least`` decide which tokens are frequent, see ``learn``.
     """
     spark = entities.sparkSession
     ship(spark)
     rows = entities.where("id IS NOT NULL AND name IS NOT NULL").groupBy("id").agg(F.min("name").alias("name")).checkpoint()
-    lex = lexicon_of(rows, nicknames)
+    lex = lexicon_of(rows, nicknames, one_in, least)
     parsed = _parsed(rows, lex).checkpoint()
     lexicon = spark.sparkContext.broadcast(lex)
     nodes = parsed.groupBy(*PARTS).agg(F.min("id").alias("node")).checkpoint()
-    keys = _keys(nodes).checkpoint()
-    side = lambda x: nodes.select(F.col("node").alias(x), *(F.col(k).alias(f"{k}_{x}") for k in PARTS))
-    pairs = keys.select("key", F.col("node").alias("a")).join(side("a").select("a", "core_a"), "a").join(
-        keys.select("key", F.col("node").alias("b")).join(side("b").select("b", "core_b"), "b"), "key"
-    )
-    pairs = pairs.where("a < b AND levenshtein(core_a, core_b, 2) >= 0").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = lexicon.value
         for b in batches:
             a_s, b_s, how, short_a, short_b, new_a, new_b = [], [], [], [], [], [], []
-            for r in b.to_pylist():
-                x, y = ({k: r[f"{k}_{s}"] for k in PARTS} for s in "ab")
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 v = agree(x, y, lex)
                 if v:
-                    a_s.append(r["a"])
-                    b_s.append(r["b"])
+                    a_s.append(x["node"])
+                    b_s.append(y["node"])
                     how.append(v)
                     short_a.append(is_short(x))
                     short_b.append(is_short(y))
@@ -446,25 +514,33 @@ def resolve(entities: DataFrame, nicknames: DataFrame) -> DataFrame:
             types = [pa.string(), pa.string(), pa.int32(), *[pa.bool_()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((a_s, b_s, how, short_a, short_b, new_a, new_b), types)], names)
 
-    links = pairs.mapInArrow(compare, "a string, b string, how int, short_a boolean, short_b boolean, new_a boolean, new_b boolean").checkpoint()
+    links = _pairs(nodes, lex).mapInArrow(compare, "a string, b string, how int, short_a boolean, short_b boolean, new_a boolean, new_b boolean").checkpoint()
     # full forms first, and short forms that are alike
-    strong = links.where("how = 2").select("a", "b")
-    labels = _min_labels(nodes, strong)
+    at_edges = _components(links.where("how = 2"))
+    labels = nodes.select("node").join(at_edges, "node", "left").select("node", F.coalesce("label", "node").alias("label")).checkpoint()
     weak = links.where("how = 1")
     weak = weak.select("a", "b", "short_a", "short_b", "new_a", "new_b").unionByName(
         weak.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("short_b").alias("short_a"), F.col("short_a").alias("short_b"), F.col("new_b").alias("new_a"), F.col("new_a").alias("new_b"))
-    ).checkpoint()
+    )
     # then what may be a nickname joins the one group it can mean, and after that each short form
-    nick = _only_one(weak.where("NOT short_a AND NOT short_b AND new_a"), labels)
-    strong = strong.union(nick).checkpoint()
-    short = _only_one(weak.where("short_a"), _min_labels(nodes, strong))
-    final = _min_labels(nodes, strong.union(short))
-    whole = parsed.join(nodes, PARTS).join(final, "node").select("id", "label")
+    labels = _relabel(labels, _only_one(weak.where("NOT short_a AND NOT short_b AND new_a"), labels)).checkpoint()
+    labels = _relabel(labels, _only_one(weak.where("short_a"), labels))
+    whole = parsed.join(nodes, PARTS).join(labels, "node").select("id", "label").checkpoint()
     return whole.join(whole.groupBy("label").agg(F.min("id").alias("entity")), "label").select("id", "entity")
 
 
+#: The rows of one entity are paired in blocks of so many.
+PAIRED = 1000
+
+
 def links(entities: DataFrame, nicknames: DataFrame) -> DataFrame:
-    """All pairs ``id_a`` < ``id_b`` of rows that mean the same; see ``resolve``."""
+    """All pairs ``id_a`` < ``id_b`` of rows that mean the same; see ``resolve``, which gives one row for each id instead.
+
+    An entity of n rows has n (n - 1) / 2 pairs; those of a large one are made by several tasks.
+    """
     found = resolve(entities, nicknames).checkpoint()
-    a, b = found.select("entity", F.col("id").alias("id_a")), found.select("entity", F.col("id").alias("id_b"))
-    return a.join(b, "entity").where("id_a < id_b").select("id_a", "id_b")
+    size = found.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("entity", F.ceil(F.col("n") / PAIRED).cast("int").alias("__salts"))
+    rows = found.join(size, "entity")
+    a = rows.select("entity", F.col("id").alias("id_a"), F.pmod(F.xxhash64("id"), F.col("__salts")).cast("int").alias("__s"))
+    b = rows.select("entity", F.col("id").alias("id_b"), F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)).alias("__s"))
+    return a.join(b, ["entity", "__s"]).where("id_a < id_b").select("id_a", "id_b")

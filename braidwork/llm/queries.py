@@ -58,6 +58,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return names.links(table(spark, d, "entities"), table(spark, d, "nicknames"))
 
 
+def p4_members(spark: SparkSession, d: str) -> DataFrame:
+    shared_dir(spark)
+    return names.resolve(table(spark, d, "entities"), table(spark, d, "nicknames"))
+
+
 def p5_values(spark: SparkSession, d: str) -> DataFrame:
     shared_dir(spark)
     return secrets.scan(table(spark, d, "project_files"), table(spark, d, "sources"))
@@ -115,6 +120,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,
+    "p4_members": p4_members,
     "p5_found": p5_found,
     "p5_values": p5_values,
     "p6_found": p6_found,

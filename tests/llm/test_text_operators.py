@@ -352,3 +352,34 @@ def test_copies_with_long_keys_and_hot_groups(spark, monkeypatch):
         got = {(r.table_name, r.kept_id, r.copy_id) for r in merkle.copies(df, limit).collect()}
         assert got == {("t", "a1", "a2")} | {("t", "h00", f"h{i:02}") for i in range(1, 40)} | {("t", "z0", f"z{i}") for i in range(1, 5)}
     assert {r.kept_id: r.n_copies for r in merkle.collapse(df).where("table_name = 't'").collect()} == {"a1": 2, "h00": 40, "z0": 5}
+
+
+# -- names: hot cores, long cores -------------------------------------------------------------------------------
+
+
+def test_hot_cores_give_the_same_entities(spark, monkeypatch):
+    """Where a core has very many nodes they meet by other keys, and nothing else changes."""
+    given = "Maria Peter Robert Anna Magdalena Gregory Samuel Ines Theodor Walter Ursula Viktor Xaver Yvonne Zacharias Bertram Cecilia Dorothea Edmund Felicia".split()
+    people = [f"{g} Telokan" for g in given] + [f"Telokan, {g}" for g in given[:9]] + ["Bob Telokan", "Rob Telokan", "X. Telokan", "Telokan Y", "Telokan", "Magdalna Telokan", "Maria K. Telokan", "M. Telokan", "Gregori Telokan", "Dr. Ursula Telokan"]
+    firms = [f"Vudora {w} {x}" for w in ("Logistics", "Systems", "Foods", "Energy", "Textiles", "Printing", "Mining", "Optics") for x in ("Ltd", "Inc")] + ["Vudora", "Vudora Logistcs Ltd"]
+    projects = [f"Project Kamarin v{i}" for i in range(8)] + [f"Kamarin project (version {i})" for i in range(8)]
+    filler = [f"{g} {a}{b}son" for g in given for a in ("Bor", "Mik", "Sul") for b in ("an", "el", "or")] + [f"{c} {w} Ltd" for c in ("Abex", "Norvo", "Tilba", "Quane") for w in ("Logistics", "Systems", "Foods", "Energy", "Textiles", "Printing", "Mining", "Optics")] * 4
+    rows = [(f"e{i:04}", n, "x") for i, n in enumerate(people + firms + projects + filler)]
+    e = spark.createDataFrame(rows, "id string, name string, core string").repartition(4)
+    nick = spark.createDataFrame([("Robert", "Bob"), ("Robert", "Rob")], "given_name string, nickname string")
+    want = {r.id: r.entity for r in names.resolve(e, nick, 40, 6).collect()}
+    monkeypatch.setattr(names, "COMMON", 6)
+    got = {r.id: r.entity for r in names.resolve(e, nick, 40, 6).collect()}
+    assert got == want and len(set(want.values())) < len(want)
+    monkeypatch.setattr(names, "PAIRED", 3)
+    pairs = {(r.id_a, r.id_b) for r in names.links(e, nick).collect()}
+    again = {r.id: r.entity for r in names.resolve(e, nick).collect()}
+    assert pairs == {(a, b) for a in again for b in again if a < b and again[a] == again[b]}
+
+
+def test_long_cores_and_slips_in_each_end(spark):
+    rows = [("a1", "Maria Featherstonehaughcholmondeley"), ("a2", "Maria Fetherstonhaughcholmondley"), ("b1", "Peter Bartholomaeusky"), ("b2", "Peter artholomaeusk"), ("c1", "Anna Kim"), ("c2", "Anna Kam"), (None, "Anna Kim"), ("d", None), ("f", "..")]
+    e = spark.createDataFrame([(i, n, "clash") for i, n in rows], "id string, name string, node string")
+    got = {(r.id_a, r.id_b) for r in names.links(e, spark.createDataFrame([("Maria", "Mia"), ("Peter", "Pete"), ("Anna", "Annie")], "given_name string, nickname string")).collect()}
+    assert got == {("a1", "a2"), ("b1", "b2")}
+    assert names.links(e.limit(0), spark.createDataFrame([], "given_name string, nickname string")).count() == 0

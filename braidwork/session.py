@@ -107,6 +107,24 @@ def checked_broadcast(small: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> t
     return (F.broadcast(small) if few else small), few
 
 
+def _repeated(rows: DataFrame, key: list[str], value: str, limit_bytes: int) -> DataFrame:
+    """The keys that stand more than once, with the smallest hash of their values; broadcast if they are few enough."""
+    shared_dir(rows.sparkSession)
+    by = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"), F.min(F.xxhash64(value)).alias("__h")).where("__n > 1").drop("__n")
+    return checked_broadcast(by.checkpoint(), limit_bytes)[0]
+
+
+def settled(rows: DataFrame, key: list[str], value: str, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``key`` and ``value``, of rows repeated under one key those with one value: that with the smallest hash.
+
+    Rows that are the same altogether may still be repeated. Only keys and hashes are shuffled, and rows pass through
+    where they are, as long as the repeated keys fit a broadcast.
+    """
+    rows = rows.select(*key, value)
+    again = _repeated(rows, key, value, limit_bytes)
+    return rows.join(again, key, "left").where(F.col("__h").isNull() | (F.col("__h") == F.xxhash64(value))).select(*key, value)
+
+
 def once(rows: DataFrame, key: list[str], value: str, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``key`` and ``value`` with one row for each key: that with the smallest value where a key is repeated.
 
@@ -114,6 +132,6 @@ def once(rows: DataFrame, key: list[str], value: str, limit_bytes: int = BROADCA
     combines before its shuffle; all others pass through where they are, as long as the repeated keys fit a broadcast.
     """
     rows = rows.select(*key, value)
-    again, _ = checked_broadcast(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(*key), limit_bytes)
+    again = _repeated(rows, key, value, limit_bytes).drop("__h")
     single = rows.join(again, key, "left_anti").select(*key, value)
     return single.unionByName(rows.join(again, key, "left_semi").groupBy(*key).agg(F.min(value).alias(value)).select(*key, value))

@@ -149,3 +149,12 @@ def test_broadcasts_are_checked_by_size(spark):
     twice = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (2, "c"), (3, "d"), (None, "e"), (None, "f"), (4, None)], "k int, v string")
     for limit in (1 << 20, 1):
         assert sorted(map(tuple, once(twice, ["k"], "v", limit).where("k IS NOT NULL").collect()), key=str) == [(1, "a"), (2, "c"), (3, "d"), (4, None)]
+
+
+def test_settled_keeps_one_value_of_a_key(spark):
+    from braidwork.session import settled
+
+    rows = spark.createDataFrame([(1, "b", 0), (1, "a", 1), (1, "b", 2), (2, "c", 3), (2, "c", 4), (3, None, 5), (None, "e", 6)], "k int, v string, extra int")
+    for limit in (1 << 20, 1):
+        got = sorted(((r.k, r.v) for r in settled(rows, ["k"], "v", limit).where("k IS NOT NULL").collect()), key=str)
+        assert got[-3:] == [(2, "c"), (2, "c"), (3, None)] and len({v for k, v in got if k == 1}) == 1

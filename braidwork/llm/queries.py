@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import once, shared_dir, spread, table
+from ..session import once, settled, shared_dir, spread, table
 from . import bpe, merkle, mojibake, names, packing, pii, secrets, splitting
 
 
@@ -26,19 +26,19 @@ def _texts(spark: SparkSession, d: str) -> tuple[DataFrame, set[str]]:
     shared_dir(spark)
     one = lambda t, c: table(spark, d, t).select(F.lit(t).alias("table_name"), F.col("id").alias("row_id"), F.col(c).alias("content"))
     texts = spread(one("sources", "content").unionByName(one("context_chunks", "content")).unionByName(one("chat_results", "answer")).where("row_id IS NOT NULL"))
-    texts = once(texts, ["table_name", "row_id"], "content")
     lexicon = names.lexicon_of(table(spark, d, "entities").where("name IS NOT NULL").groupBy("id").agg(F.min("name").alias("name")), table(spark, d, "nicknames"))
     return texts, lexicon.given | set(lexicon.full)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     texts, given = _texts(spark, d)
+    texts = settled(texts, ["table_name", "row_id"], "content")
     return pii.find(texts, ["table_name", "row_id"], "content", given).select("table_name", "row_id", "kind").distinct()
 
 
 def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
     texts, given = _texts(spark, d)
-    return pii.find(texts, ["table_name", "row_id"], "content", given, placeholders=True)
+    return pii.find(once(texts, ["table_name", "row_id"], "content"), ["table_name", "row_id"], "content", given, placeholders=True)
 
 
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:

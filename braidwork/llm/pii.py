@@ -32,7 +32,7 @@ _SPELLED_AT = re.compile(r".?[\[(]\s?at\s?[\])]")
 _LOCAL = re.compile(r"(?:mailto:)?[a-z0-9][\w.+%'-]{0,63}\Z")
 _DOMAIN = re.compile(r"[a-z0-9-]+(?:(?:\.|\s?[\[(]dot[\])]\s?|\sdot\s)[a-z0-9-]+){0,4}(?:\.|\s?[\[(]dot[\])]\s?|\sdot\s)[a-z]{2,12}(?![\w@])")
 _NUMBER = re.compile(
-    r"(?<![\w.@#/+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{1,5}(?:(?:[ .-]|-?\(0\))?\(?\d{1,5}\)?)*(?:[ .-]five five five[ .-]\d{4})?(?: ?(?:ext|x)\.? ?\d{1,5})?(?![\w@]|[./:-]\d)"
+    r"(?<![\w.@#/+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{1,5}+(?:(?:[ .-]|-?\(0\))?\(?\d{1,5}+\)?)*(?:[ .-]five five five[ .-]\d{4})?(?: ?(?:ext|x)\.? ?\d{1,5})?(?![\w@]|[./:-]\d)"
 )
 _NUMBER_HIT = re.compile(r"\d[\d().\- ]{5,}\d")
 _SPELLED_HIT = re.compile(r"\d{3}[ .-]five five five[ .-]\d{4}")
@@ -53,7 +53,7 @@ _COMPOUND = re.compile(rf"(?<!\w){_TOWN_WORD}(?:straße|strasse|weg|platz|gasse)
 _REST = re.compile(rf"(?:,\s*|\s*\n\s*)(?:\d{{5}}\s)?({_TOWN_WORD})((?:\s{_TOWN_WORD})?)((?:\s{_TOWN_WORD})?)")
 _REST_POST = re.compile(rf"\s{_POST}")
 _COMPOUND_WORDS = ["straße ", "strasse ", " box ", "weg ", "platz ", "gasse "]
-_STREET_WORDS = [" street", " st", " road", " rd", " ave", " lane", " ln", " close", " way", " dr", " blvd", " boulevard", " court", " ct", " pl", " sq", " terrace", " crescent", " rue ", *_COMPOUND_WORDS]
+_STREET_WORDS = set("street st road rd avenue ave lane ln close way drive dr blvd boulevard court ct place pl square sq terrace crescent rue chemin allée".split())
 _NAME_TOKEN = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*\.?")
 SHORT_WORDS = set("by to on in is at of or as if an no do go up us we me my it so be he am id ok vs".split())
 #: Words that are nobody's surname.
@@ -90,11 +90,14 @@ _TITLE_STOP = re.compile(r"\b(mr|mrs|ms|dr|prof)\. ")
 _DOTTED = re.compile(r"(?<![\w.])[A-Z]\.(?=\s[A-Z])")
 
 
+def runs(low: str) -> set[str]:
+    """The different runs of letters of a lower-case text."""
+    return set(low.translate(_LETTERS_ONLY).split()) if low.isascii() else set(_TOKEN.findall(low))
+
+
 def words(low: str) -> set[str]:
     """The different words of a lower-case text: runs of three letters and more."""
-    if low.isascii():
-        return {w for w in set(low.translate(_LETTERS_ONLY).split()) if len(w) > 2}
-    return set(_WORD.findall(low))
+    return {w for w in runs(low) if len(w) > 2}
 
 
 class Tagger:
@@ -108,6 +111,7 @@ class Tagger:
 
     def __init__(self, common: set[str], given: set[str], weights: dict[str, float] | None = None) -> None:
         self.common, self.given, self.weights = common, given, weights or {}
+        self.given_or_title = given | TITLES
 
     # -- candidates -------------------------------------------------------------------------------------
     def candidates(self, text: str) -> list[tuple[int, int, str]]:
@@ -133,8 +137,9 @@ class Tagger:
         for m in _PAIRED.finditer(low):
             if b := _LETTERS_SPACE.search(low[max(0, m.start() - 4) : m.start()]):
                 out.add((m.start() - len(b[0]), m.end(), "ID_NUMBER"))
-        self._addresses(low, out)
-        self._names(text, low, out)
+        tokens = runs(low)
+        self._addresses(low, tokens, out)
+        self._names(text, low, tokens, out)
         return sorted(out)
 
     @staticmethod
@@ -143,7 +148,8 @@ class Tagger:
         for h in _NUMBER_HIT.finditer(low):
             if _PLAIN_THING.fullmatch(h[0].strip(" (.-")):
                 continue
-            for m in _NUMBER.finditer(low, max(0, last, h.start() - 2)):
+            # an extension or spelt digits may follow, of fewer characters than these
+            for m in _NUMBER.finditer(low, max(0, last, h.start() - 2), h.end() + 48):
                 if m.start() >= h.end():
                     break
                 if m.end() > last and not _PLAIN_THING.fullmatch(m[0]):
@@ -153,11 +159,9 @@ class Tagger:
             yield from _SPELLED_HIT.finditer(low)
 
     @staticmethod
-    def _addresses(low: str, out: set[tuple[int, int, str]]) -> None:
+    def _addresses(low: str, tokens: set[str], out: set[tuple[int, int, str]]) -> None:
         """The street, alone and with a town of one word, two or three, with and without a postal code."""
-        if not any(w in low for w in _STREET_WORDS):
-            return
-        found = [m.span() for m in _NUMBERED.finditer(low)]
+        found = [] if tokens.isdisjoint(_STREET_WORDS) else [m.span() for m in _NUMBERED.finditer(low)]
         if any(w in low for w in _COMPOUND_WORDS):
             found += [m.span() for m in _COMPOUND.finditer(low)]
         for s, e in found:
@@ -171,9 +175,9 @@ class Tagger:
                     if post := _REST_POST.match(low, end):
                         out.add((s, post.end(), "ADDRESS"))
 
-    def _names(self, text: str, low: str, out: set[tuple[int, int, str]]) -> None:
-        rare = {w for w in words(low) - self.common if len(w) >= 4}
-        beside = self._beside(text, low)
+    def _names(self, text: str, low: str, tokens: set[str], out: set[tuple[int, int, str]]) -> None:
+        rare = {w for w in tokens - self.common if len(w) >= 4}
+        beside = self._beside(text, low, tokens)
         if not rare and not beside:
             return
         spans = {w.span() for w in _WORD.finditer(low) if w[0] in rare} if rare else set()
@@ -231,21 +235,26 @@ class Tagger:
                     if not weak or x < s or y > e:
                         out.add((x, y, "NAME"))
 
-    def _beside(self, text: str, low: str) -> set[tuple[int, int]]:
+    def _beside(self, text: str, low: str, tokens: set[str]) -> set[tuple[int, int]]:
         """Where words stand that are surnames only by the given name, title or initial beside them, however common or short."""
-        tokens = set(low.translate(_LETTERS_ONLY).split()) if low.isascii() else set(_TOKEN.findall(low))
-        first = {t for t in tokens if t in self.given or t in TITLES or not t.isascii() and fold(t) in self.given}
+        first = tokens & self.given_or_title
+        if not low.isascii():
+            first |= {t for t in tokens if not t.isascii() and fold(t) in self.given}
         out: set[tuple[int, int]] = set()
 
         def add(m: re.Match[str] | None, lower_too: bool) -> None:
             if m and m.end(1) - m.start(1) > 1 and m[1] not in FUNCTION_WORDS and m[1] not in TITLES and (lower_too or text[m.start(1)].isupper()):
                 out.add(m.span(1))
 
-        if first:
-            for f in re.finditer(rf"(?<![^\W\d_])(?:{'|'.join(map(re.escape, sorted(first, key=len, reverse=True)))})(?![^\W\d_])", low):
-                add(_AFTER.match(low, f.end()), f[0] not in TITLES)
-                if f[0] not in TITLES:
-                    add(_BEFORE_GIVEN.search(low, max(0, f.start() - 44), f.start()), False)
+        for w in first:
+            title = w in TITLES
+            for at in _every(low, w):
+                end = at + len(w)
+                if at and low[at - 1].isalpha() or low[end : end + 1].isalpha():
+                    continue
+                add(_AFTER.match(low, end), not title)
+                if not title:
+                    add(_BEFORE_GIVEN.search(low, max(0, at - 44), at), False)
         if "." in low:
             for f in _DOTTED.finditer(text):
                 add(_AFTER.match(low, f.end() - 1), False)

@@ -357,10 +357,10 @@ def _inside(short: str, long: str) -> bool:
 
 
 def _suffix_keys(nodes: DataFrame) -> DataFrame:
-    """The nodes with ``key``: suffixes of the core and of its mirror image, overly common ones refined, then lengthened."""
+    """(node, core, key): suffixes of the core and of its mirror image, overly common ones refined, then lengthened."""
     f = F.coalesce(F.nullif(F.col("version"), F.lit("")), F.nullif(F.substring("initials", 1, 1), F.lit("")), F.nullif(F.substring("words", 1, 3), F.lit("")), F.lit(""))
     skips = F.when(F.length("core") >= LONG_CORE, F.sequence(F.lit(1), F.lit(SKIPPED + 1))).otherwise(F.array(F.lit(1)))
-    ends = nodes.select("*", f.alias("__f"), F.explode(F.array(F.lit("s"), F.lit("m"))).alias("__side"), F.explode(skips).alias("__at"))
+    ends = nodes.select("node", "kind", "core", f.alias("__f"), F.explode(F.array(F.lit("s"), F.lit("m"))).alias("__side"), F.explode(skips).alias("__at"))
     ends = ends.withColumn("__t", F.when(F.col("__side") == "s", F.reverse("core")).otherwise(F.col("core")))  # the suffix, read backwards
     part = lambda n: F.substr("__t", F.col("__at"), F.lit(n))
     steps = [part(MIN_SUFFIX), F.concat_ws("|", part(MIN_SUFFIX), "__f"), F.concat_ws("|", part(MIN_SUFFIX + 2), "__f"), F.concat_ws("|", part(MIN_SUFFIX + 2), "__f", F.length("__t").cast("string"))]
@@ -373,7 +373,7 @@ def _suffix_keys(nodes: DataFrame) -> DataFrame:
             if not common.limit(1).count():
                 common = None
         done = keyed if common is None else keyed.join(checked_broadcast(common)[0], "key", "left_anti")
-        done = done.select("node", *PARTS, "key")
+        done = done.select("node", "core", "key")
         out = done if out is None else out.unionByName(done)
         if common is None:
             break
@@ -382,7 +382,7 @@ def _suffix_keys(nodes: DataFrame) -> DataFrame:
 
 
 def _core_keys(nodes: DataFrame, lex: Lexicon) -> tuple[DataFrame, DataFrame | None]:
-    """The nodes with ``key`` by which equal cores meet; and the pairs of short forms and the nodes they ask, if any.
+    """(node, core, key) by which equal cores meet; and the pairs (x, y) of short forms and the nodes they ask, if any.
 
     Where a core has very many nodes, those with given names meet by what two given names that agree have in common: a
     name that both may stand for, or their first two or last two letters. Short forms of such a core ask the nodes with
@@ -391,7 +391,7 @@ def _core_keys(nodes: DataFrame, lex: Lexicon) -> tuple[DataFrame, DataFrame | N
     keyed = nodes.withColumn("key", F.concat_ws("|", F.lit("w"), "kind", "core"))
     hot = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON).select("key").checkpoint()
     if not hot.limit(1).count():
-        return keyed, None
+        return keyed.select("node", "core", "key"), None
     hot, _ = checked_broadcast(hot)
     many = keyed.join(hot, "key", "left_semi")
     names = nodes.sparkSession.createDataFrame(sorted((n, f) for n, fs in lex.full.items() for f in fs) or [("", "")], "given string, alias string")
@@ -408,7 +408,7 @@ def _core_keys(nodes: DataFrame, lex: Lexicon) -> tuple[DataFrame, DataFrame | N
     first = F.transform("aliases", lambda x: mark("i", F.substring(x, 1, 1)))
     asked = many.withColumn("__k", F.explode(F.array_distinct(F.concat(F.array(mark("b", F.lit(""))), F.when(F.col("given") != "", first).otherwise(F.array(mark("i", F.substring("initials", 1, 1))))))))
     ask = many.where(~full).withColumn("key", F.when((F.col("kind") == "P") & (F.col("initials") != ""), mark("i", F.substring("initials", 1, 1))).otherwise(mark("b", F.lit(""))))
-    columns = ["node", *PARTS, "key"]
+    columns = ["node", "core", "key"]
     # who asks, and who is asked by none: a node without initial is met by those that have one through the core
     bare = many.where(~full & (F.col("kind") == "P") & (F.col("initials") == "")).withColumn("key", mark("b", F.lit("")))
     asks = _sided(ask.unionByName(bare).select(*columns).distinct(), asked.drop("key").withColumnRenamed("__k", "key").select(*columns))
@@ -418,31 +418,34 @@ def _core_keys(nodes: DataFrame, lex: Lexicon) -> tuple[DataFrame, DataFrame | N
 def _sided(ask: DataFrame, asked: DataFrame) -> DataFrame:
     """Pairs of those that ask and those they ask; blocks of many are shared by several tasks."""
     size, _ = checked_broadcast(asked.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / COMMON).cast("int").alias("__salts")).where("__salts > 1"))
-    one = lambda df: df.join(size, "key", "left").withColumn("__salts", F.coalesce("__salts", F.lit(1)))
-    a = one(ask).withColumn("__s", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)))
-    b = one(asked).withColumn("__s", F.pmod(F.xxhash64("node"), F.col("__salts")).cast("int"))
-    side = lambda df: df.select("key", "__s", F.struct("node", *PARTS).alias("p"))
-    x, y = side(a).withColumnRenamed("p", "a"), side(b).withColumnRenamed("p", "b")
-    pairs = x.join(y, ["key", "__s"]).where("a.node <> b.node")
-    low = F.col("a.node") < F.col("b.node")
-    return pairs.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("b"))
+    one = lambda df: df.select("node", "key").join(size, "key", "left").withColumn("__salts", F.coalesce("__salts", F.lit(1)))
+    x = one(ask).withColumn("__s", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))).select("key", "__s", F.col("node").alias("x"))
+    y = one(asked).withColumn("__s", F.pmod(F.xxhash64("node"), F.col("__salts")).cast("int")).select("key", "__s", F.col("node").alias("y"))
+    return x.join(y, ["key", "__s"]).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
 
 
 def _pairs(nodes: DataFrame, lex: Lexicon) -> DataFrame:
     """Candidate pairs (a, b) of nodes whose cores are alike, once each; a and b have the node and its parts."""
     equal, asks = _core_keys(nodes, lex)
-    keyed = _suffix_keys(nodes).unionByName(equal.select("node", *PARTS, "key")).checkpoint()
-    # keys that one node has alone make no pair; blocks of many are shared by several tasks
-    size = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").withColumn("__salts", F.ceil(F.col("__n") / COMMON).cast("int")).drop("__n")
-    rows = keyed.join(size, "key").select("key", "__salts", F.struct("node", *PARTS).alias("p"))
-    a = rows.select("key", F.col("p").alias("a"), F.pmod(F.xxhash64("p.node"), F.col("__salts")).cast("int").alias("__s"))
-    b = rows.select("key", F.col("p").alias("b"), F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)).alias("__s"))
+    keyed = _suffix_keys(nodes).unionByName(equal).checkpoint()
     # a replaced letter is one edit and two of the subsequence's; a swap is two edits
-    room = F.greatest(F.lit(2), F.floor((F.length("a.core") + F.length("b.core")) * (1 - ALIKE)).cast("int"))
-    alike = (F.abs(F.length("a.core") - F.length("b.core")) <= room) & (F.levenshtein(F.col("a.core"), F.col("b.core")) <= room)
-    met = a.join(b, ["key", "__s"]).where("a.node < b.node").where((F.col("a.core") == F.col("b.core")) | alike).select("a", "b")
-    every = met if asks is None else met.unionByName(asks)
-    return every.groupBy(F.col("a.node").alias("x"), F.col("b.node").alias("y")).agg(F.first("a").alias("a"), F.first("b").alias("b")).select("a", "b")
+    room = F.greatest(F.lit(2), F.floor((F.length("ca") + F.length("cb")) * (1 - ALIKE)).cast("int"))
+    alike = (F.col("ca") == F.col("cb")) | ((F.abs(F.length("ca") - F.length("cb")) <= room) & (F.levenshtein(F.col("ca"), F.col("cb")) <= room))
+    left = lambda df, *more: df.select("key", F.col("node").alias("x"), F.col("core").alias("ca"), *more)
+    right = lambda df, *more: df.select("key", F.col("node").alias("y"), F.col("core").alias("cb"), *more)
+    hot = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON).select("key", F.ceil(F.col("n") / COMMON).cast("int").alias("__salts")).checkpoint()
+    if hot.limit(1).count():  # blocks of many are shared by several tasks
+        hot, _ = checked_broadcast(hot)
+        many = keyed.join(hot, "key")
+        a = left(many, F.pmod(F.xxhash64("node"), F.col("__salts")).cast("int").alias("__s"))
+        b = right(many, F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)).alias("__s"))
+        few = keyed.join(hot, "key", "left_anti")
+        met = left(few).join(right(few), "key").where("x < y").where(alike).select("x", "y").unionByName(a.join(b, ["key", "__s"]).where("x < y").where(alike).select("x", "y"))
+    else:
+        met = left(keyed).join(right(keyed), "key").where("x < y").where(alike).select("x", "y")
+    found = (met if asks is None else met.unionByName(asks)).distinct()
+    side = lambda x, p: nodes.select(F.col("node").alias(x), F.struct("node", *PARTS).alias(p))
+    return found.join(side("x", "a"), "x").join(side("y", "b"), "y").select("a", "b")
 
 
 def _components(edges: DataFrame) -> DataFrame:

@@ -41,12 +41,37 @@ def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.find(once(texts, ["table_name", "row_id"], "content"), ["table_name", "row_id"], "content", given, placeholders=True)
 
 
+def p2_unchanged(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each text stands as it was where nothing was replaced, and else keeps all that is outside its placeholders."""
+    texts, _ = _texts(spark, d)
+    before = once(texts, ["table_name", "row_id"], "content")
+    both = before.join(p2_redacted(spark, d), ["table_name", "row_id"], "left")
+    parts = F.split("redacted", r"\[(?:EMAIL|PHONE|ID_NUMBER|ADDRESS|NAME)\]")
+    # all parts between placeholders stand in the text, in their order
+    at = F.aggregate(parts, F.lit(1), lambda i, p: F.when((i == 0) | (p == ""), i).otherwise(F.when(F.call_function("locate", p, F.col("content"), i) == 0, F.lit(0)).otherwise(F.call_function("locate", p, F.col("content"), i) + F.length(p))))
+    ok = F.when(F.col("content").isNull(), F.col("redacted").isNull()).otherwise((F.col("redacted") == F.col("content")) | (at > 0))
+    return both.select("table_name", "row_id", F.coalesce(ok, F.lit(False)).alias("kept"))
+
+
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     most, overlap = _limit(spark, d, "split_item")
     rows = _contents(spark, d, "item_id").where(splitting.exceeds(F.col("content"), most) & F.col("item_id").isNotNull())
     return splitting.split(once(rows, ["table_name", "item_id"], "content"), ["table_name", "item_id"], "content", most, overlap)
 
 
+def p3_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the pieces of each item, without their overlaps, make its text, and whether all fit the limit and begin with
+    what the one before ends with."""
+    most, overlap = _limit(spark, d, "split_item")
+    texts = once(_contents(spark, d, "item_id").where(splitting.exceeds(F.col("content"), most) & F.col("item_id").isNotNull()), ["table_name", "item_id"], "content")
+    # the pieces of an item are as long as its text
+    piece = F.struct("chunk_index", F.col("content").alias("piece"), "overlap", "token_estimate")
+    pieces = p3_pieces(spark, d).groupBy("table_name", "item_id").agg(F.array_sort(F.collect_list(piece)).alias("ps"))
+    made = F.array_join(F.transform("ps", lambda p: F.substr(p["piece"], p["overlap"] + 1)), "")
+    both = texts.join(pieces, ["table_name", "item_id"], "left")
+    return both.select("table_name", "item_id", F.coalesce(made == F.col("content"), F.lit(False)).alias("restored"), F.coalesce(F.forall("ps", lambda p: p["token_estimate"] <= most), F.lit(False)).alias("fits"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     most, overlap = _limit(spark, d, "split_item")
     pieces = splitting.split(_contents(spark, d, "item_id").where("item_id IS NOT NULL"), ["table_name", "item_id"], "content", most, overlap)
@@ -96,6 +121,19 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "n_tokens", capacity)
 
 
+def p8_placed(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the pieces of each document make it up without gap, only those above the capacity are split, and none of
+    its containers holds more than the capacity."""
+    capacity, _ = _limit(spark, d, "pack_document")
+    placed = p8_containers(spark, d).checkpoint()
+    used = placed.where("n_tokens > 0").groupBy("container").agg(F.sum("n_tokens").alias("used"))
+    rows = placed.join(used, "container", "left").withColumn("used", F.when(F.col("n_tokens") > 0, F.col("used")).otherwise(F.lit(0)))
+    by = rows.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("k"), F.max(F.col("start") + F.col("n_tokens")).alias("end"), F.max("piece").alias("last"), F.max("used").alias("used"))
+    sizes = bpe.encode(_documents(spark, d), "doc_id", "text", counts_only=True).groupBy("doc_id").agg(F.max("n_tokens").alias("size"))
+    whole = (F.col("n") == F.col("size")) & (F.col("end") == F.col("size")) & (F.col("last") + 1 == F.col("k")) & (F.col("k") == F.greatest(F.lit(1), F.ceil(F.col("size") / capacity)))
+    return sizes.join(by, "doc_id", "left").select("doc_id", F.coalesce(whole, F.lit(False)).alias("whole"), F.coalesce(F.col("used") <= capacity, F.lit(False)).alias("fits"))
+
+
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     capacity, _ = _limit(spark, d, "pack_document")
     by = p8_containers(spark, d).where("n_tokens > 0").groupBy("container").agg(F.sum("n_tokens").alias("used"), F.count(F.lit(1)).alias("n_items"))
@@ -117,7 +155,9 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_redacted": p2_redacted,
+    "p2_unchanged": p2_unchanged,
     "p3_found": p3_found,
+    "p3_restored": p3_restored,
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,
     "p4_members": p4_members,
@@ -128,6 +168,7 @@ QUERIES = {
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
+    "p8_placed": p8_placed,
     "p9_found": p9_found,
     "p9_repaired": p9_repaired,
 }
@@ -139,4 +180,12 @@ ORACLE = {
     "p3_found": f"""
 SELECT DISTINCT 'sources' AS table_name, id AS item_id FROM sources WHERE id IS NOT NULL AND {_OVER}
 UNION SELECT DISTINCT 'context_chunks', id FROM context_chunks WHERE id IS NOT NULL AND {_OVER}""",
+    "p3_restored": f"""
+SELECT DISTINCT 'sources' AS table_name, id AS item_id, true AS restored, true AS fits FROM sources WHERE id IS NOT NULL AND {_OVER}
+UNION SELECT DISTINCT 'context_chunks', id, true, true FROM context_chunks WHERE id IS NOT NULL AND {_OVER}""",
+    "p8_placed": "SELECT DISTINCT doc_id, true AS whole, true AS fits FROM documents",
+    "p2_unchanged": """
+SELECT DISTINCT 'sources' AS table_name, id AS row_id, true AS kept FROM sources WHERE id IS NOT NULL
+UNION SELECT DISTINCT 'context_chunks', id, true FROM context_chunks WHERE id IS NOT NULL
+UNION SELECT DISTINCT 'chat_results', id, true FROM chat_results WHERE id IS NOT NULL""",
 }

@@ -127,7 +127,8 @@ class Tagger:
                 out.add((i - len(b[0]), d.end(), "EMAIL"))
         for m in self._numbers(low):
             digits = sum(c.isdigit() for c in m[0])
-            if 7 <= digits + 3 * ("five" in m[0]) <= 18:
+            # numbers of telephones have 15 digits at most, beside an extension
+            if 7 <= digits + 3 * ("five" in m[0]) <= (15 if m[0].isdigit() else 18):
                 out.add((m.start(), m.end(), "PHONE"))
                 if m[0][0] not in "+(" and digits <= 12 and "five" not in m[0]:
                     out.add((m.start(), m.end(), "ID_NUMBER"))
@@ -308,6 +309,8 @@ class Tagger:
             last = [t for t, k in zip(ts, kinds) if k == "R"]
             out += [f"NAME form {kinds}", f"NAME case {''.join(sorted(set(case)))}", f"NAME form {kinds} {''.join(sorted(set(case)))}", f"NAME long {min(3, max(map(len, last), default=0) // 4)}"]
             out.append(f"NAME more {self._more(low, s, e)}")
+            if not _STREET_WORDS.isdisjoint(ts):
+                out.append("NAME way")
         return out
 
     def _more(self, low: str, s: int, e: int) -> str:
@@ -395,7 +398,7 @@ id={I}; name={N}|national id: {I}|identity card {I} was shown|ssn {I} on file|ta
 A letter from {N} arrived on Monday.|We spoke with {N}, who lives at {A}.|Her number is {P} and her mail is {E}.|Send a copy to {N}, {A}.|Question for {N}: is {x} still in use?|Thanks to {N} for the fix.
 {N} joined the call late.|Hi {N},|Dear {N},|Regards, {N}|Best, {N}|assigned to {N}|Author: {N}|reporter={N} priority={n}|manager: {N}, floor {n}|- {N} ({E})|* {N}, {P}|{N};{E};{P}|{N},{E},{A}|contact person {N}
 handled by {N} on the second day|According to {N}, {x} failed {n} times.|As {N} wrote, the rows are gone.|the tenant {N} moved out|patient {N} came in at noon|invoice address: {N}, {A}|his lawyer {N} sent {n} pages
-{N} and {N} disagreed about {x}.|Her new flat is at {A} as of May.|Pick the parcel up at {A}.|office: {A}|address={A}; floor={n}|"address": "{A}"|The van goes to {A} twice a week.|home address {A}
+{N} and {N} disagreed about {x}.|{w} {w} to {A} {w} {w}|{w} to {A} before {w}|bring it to {A}|{w} {w} at {A} {w}|sent to {A} on {w}|{A} is where {w} {w}.|Her new flat is at {A} as of May.|Pick the parcel up at {A}.|office: {A}|address={A}; floor={n}|"address": "{A}"|The van goes to {A} twice a week.|home address {A}
 The garden behind {A} floods.|from {A} to {A}|{A} was sold.|If {x} stops, phone {P}.|Her extension changed, dial {P} now.|mobile {P}, office {P}|You can reach me at {P} until six.|hotline={P}|"mobile": "{P}"|call {P}
 call me back on {P}|The old line {P} is dead.|SMS to {P} failed|fax: {P}|email={E}|"email": "{E}"|E-mail {E} bounced {n} times.|write to {E} for a copy|{E} was unsubscribed|from: {E}|to {E} and {E}
 The alias {E} forwards to {E}.|Forwarded by {E}|author <{E}>|sender {E}; retries={n}|Her passport, {I}, has expired.|The tax office knows the case as {I}.|passport: {I}|passport no {I}, issued in May

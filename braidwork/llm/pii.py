@@ -420,7 +420,7 @@ a {G} {C} of {n}|new {C} for {G} {C}|{R} {K} failed.|The {R} {K} is down.|Restar
 {w} {w} {R} {w} {w}.|{w} {R} {w}|{w} {w} {R}, {w} {w} {n}|{R}: {w} {w}|{w}={R}|{w}: {R}|{w} {w} by {R}.|{w} {w} by {x}.|{w} {w} to {R}.|{R} {w} {w} {w}.|{x} {w} {w}|{w} {n} {w} {B}|{w} {B} {w}|{w}={B}|"{w}": "{B}"|job {B}
 {w} number {B}|ref {B} of {x}|{D} {w}|{w} {h}|pid={D}|seq {D}|{D} rows|lot {B}, crate {n}|opened on 2024-03-0{n}|from 2024-05-1{n} to 2024-06-11|port 80{n} of 10.2.{n}.4|size {D} bytes|ticket #{D}|{w} {x}: {n}, {n}, {n}
 v{n}.{n}|step {n} of {n}|{n} {w} and {n} {w} were {w}|range {D}-{D}|ISBN {D}|order no {B}|parcel {D} left|line {n}: {R}({D})
-{U}|{U}|url={U}|{w}={U}|"{w}": "{U}"|connect("{U}")|{w} {w} {U} {w}|export {R}={U}|client -u root -p'{R}'|client -u app -p'{R}{n}' {w}|tool -h {w} -u {R} -p {R}|dump -u {w} {w}|{R} {R} {K} {K} {w}|The {K} Had Finished. {R} {K} At {n}|{n} ms. {K} {w}|in {n} Ms. {K} {w} {w}|took {n} Ms. Later {w}|{w} {n} MS. {K}: {w}|{n} Ms. {G} {C} {w}|{w} {n} ms. {G} {C} {w}|After {n} ms.   {K}   {w}|{w} {w}. Dr. {K} {w}|{w} {w}. Dr. Later {w}|{w} with {w}\n{B}. {w}|{w} build\n{B}|{w} Build {B}. {K} {w}|-----BEGIN {V} PRIVATE KEY-----|# -----END {V} PRIVATE KEY-----|  -----BEGIN {V} PUBLIC KEY-----|{V} ERROR {w}|{V} NOT NULL|{w} {V} PRIMARY KEY|{V} {V} FAILED: {n}|{w} {V} TABLE {w}|user: {G} {C} at {n} {w}|{w} {w}. {G} {C} At {n} {w}|user: {G} {C} {w} {n}|assistant: {G} {C} {w}|{w}: {G} {C} at {n}|{w} {w} {G} {C} at {n} {w}|{G} {C} at {n} {w} {x}|user: {w} {G} {C} {w}|user: {C} {C} {w} {n}|CREATE USER {w} IDENTIFIED BY "{R}!{R}{n}"|GRANT {K} TO {w} IDENTIFIED BY '{R}{n}{R}';""".replace("\n", "|").split("|")
+{U}|{U}|url={U}|{w}={U}|"{w}": "{U}"|connect("{U}")|{w} {w} {U} {w}|export {R}={U}|client -u root -p'{R}'|client -u app -p'{R}{n}' {w}|tool -h {w} -u {R} -p {R}|dump -u {w} {w}|{R} {R} {K} {K} {w}|The {K} Had Finished. {R} {K} At {n}|{n} ms. {K} {w}|in {n} Ms. {K} {w} {w}|took {n} Ms. Later {w}|{w} {n} MS. {K}: {w}|{n} Ms. {G} {C} {w}|{w} {n} ms. {G} {C} {w}|After {n} ms.   {K}   {w}|{w} {w}. Dr. {K} {w}|{w} {w}. Dr. Later {w}|{w} on {n} {w} {w} dr is {w}|{n} {w} {w} Dr {w}|with {x} on {n} {C} {C} Dr is {w}|{w} with {w}\n{B}. {w}|{w} build\n{B}|{w} Build {B}. {K} {w}|-----BEGIN {V} PRIVATE KEY-----|# -----END {V} PRIVATE KEY-----|  -----BEGIN {V} PUBLIC KEY-----|{V} ERROR {w}|{V} NOT NULL|{w} {V} PRIMARY KEY|{V} {V} FAILED: {n}|{w} {V} TABLE {w}|user: {G} {C} at {n} {w}|{w} {w}. {G} {C} At {n} {w}|user: {G} {C} {w} {n}|assistant: {G} {C} {w}|{w}: {G} {C} at {n}|{w} {w} {G} {C} at {n} {w}|{G} {C} at {n} {w} {x}|user: {w} {G} {C} {w}|user: {C} {C} {w} {n}|CREATE USER {w} IDENTIFIED BY "{R}!{R}{n}"|GRANT {K} TO {w} IDENTIFIED BY '{R}{n}{R}';""".replace("\n", "|").split("|")
 
 
 #: Surnames that are short, or that are common words and known as such in training.

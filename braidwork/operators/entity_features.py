@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 
 from ..session import checked_broadcast
 
+#: One row for each bucket: events that arrived at the mark, fingerprint if there was an audit; and of all: the mark, the
+#: hash of the types, number and hash of the arrivals before.
+_MANIFEST = "bucket date, at bigint, n bigint, h bigint, mark timestamp_ntz, stamp bigint, past_n bigint, past_h bigint"
 #: No bucket is longer.
 _LONGEST = dt.timedelta(days=367)
 
@@ -119,11 +122,22 @@ class EntityFeatures:
         )
 
     # -- the kept tables ------------------------------------------------------------------------------
-    def _kept(self, name: str) -> list:
+    def _kept(self) -> list:
+        """The rows of the manifest, one for each bucket; none if there is none of this form."""
         try:
-            return self.spark.read.parquet(f"{self.path}/{name}").collect()
+            found = self.spark.read.parquet(f"{self.path}/manifest")
         except AnalysisException:
             return []
+        return found.collect() if found.columns == [c.split()[0] for c in _MANIFEST.split(", ")] else []
+
+    def _past(self, events: DataFrame, mark: dt.datetime | None) -> tuple[int, int]:
+        """Number and hash of the times of arrival before the mark, from that column alone: another table under the same
+        name has others."""
+        if mark is None or self.arrival not in events.columns:
+            return 0, 0
+        rows = events.select(F.col(self.arrival).cast("timestamp_ntz").alias("arrived")).where(F.col("arrived") < F.lit(mark))
+        r = rows.agg(F.count(F.lit(1)), F.sum(F.shiftright(F.xxhash64("arrived"), 20))).first()
+        return r[0], r[1] or 0
 
     def fingerprints(self, events: DataFrame) -> dict[dt.date, tuple[int, int]]:
         """Number of rows and an order-independent hash of them by bucket; as many entries as buckets."""
@@ -170,24 +184,25 @@ class EntityFeatures:
         made.write.mode("overwrite").parquet(f"{self.path}/strays")
         return made
 
-    def _keep_manifest(self, buckets: dict[dt.date, tuple[int, int | None, int | None]], mark: dt.datetime | None, stamp: int) -> None:
-        state = [(b, *v, mark, stamp) for b, v in sorted(buckets.items())]
-        schema = "bucket date, at bigint, n bigint, h bigint, mark timestamp_ntz, stamp bigint"
-        self.spark.createDataFrame(state, schema).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest")
+    def _keep_manifest(self, events: DataFrame, buckets: dict[dt.date, tuple[int, int | None, int | None]], mark: dt.datetime | None, stamp: int) -> None:
+        past = self._past(events, mark)
+        state = [(b, *v, mark, stamp, *past) for b, v in sorted(buckets.items())]
+        self.spark.createDataFrame(state, _MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest")
 
     def refresh(self, events: DataFrame, event_types: DataFrame, audit: bool = False) -> list[dt.date]:
         """Bring the kept partials up to date; the buckets that were recomputed.
 
         Events that arrived since the last refresh are found by their time of arrival. ``audit`` compares
         fingerprints of all rows instead, which also finds rows that were changed or taken away in place; if it
-        finds any, all is computed anew. So it is if the known types have changed.
+        finds any, all is computed anew. So it is if the known types have changed, or the times of arrival up to the last
+        refresh, which are read as a column alone.
         """
         audit = audit or self.arrival not in events.columns
-        kept = {r.bucket: r for r in self._kept("manifest")}
+        kept = {r.bucket: r for r in self._kept()}
         stamp = event_types.select(F.sum(F.shiftright(F.xxhash64("event_type"), 20))).first()[0] or 0
         known = next(iter(kept.values()), None)
         prints = self.fingerprints(events) if audit else {}
-        if known is None or known.stamp != stamp:
+        if known is None or known.stamp != stamp or (known.past_n, known.past_h) != self._past(events, known.mark):
             return self._build(events, event_types, prints, stamp)
         new = self._arrivals(events, known.mark)
         changed = sorted(b for b, (n, at, _) in new.items() if n or at != (kept[b].at if b in kept else 0))
@@ -222,7 +237,7 @@ class EntityFeatures:
         at = self._at(events, mark)
         buckets = {b: (at.get(b, 0), *(prints.get(b) or ((r.n, r.h) if b not in changed else (None, None)))) for b, r in kept.items()}
         buckets |= {b: (at.get(b, 0), *(prints.get(b) or (None, None))) for b in changed}
-        self._keep_manifest(buckets, mark, stamp)
+        self._keep_manifest(events, buckets, mark, stamp)
         return changed
 
     def _at(self, events: DataFrame, mark: dt.datetime | None) -> dict[dt.date, int]:
@@ -237,7 +252,7 @@ class EntityFeatures:
             self._keep_strays(self._spread_ids(self._typed(self._events(events), event_types)) if new else strays.limit(0))
         mark = max((v[2] for v in new.values() if v[2] is not None), default=None)
         at = self._at(events, mark)
-        self._keep_manifest({b: (at.get(b, 0), *prints.get(b, (None, None))) for b in new}, mark, stamp)
+        self._keep_manifest(events, {b: (at.get(b, 0), *prints.get(b, (None, None))) for b in new}, mark, stamp)
         return sorted(new)
 
     def _write(self, part: DataFrame, how: str) -> None:
@@ -245,7 +260,7 @@ class EntityFeatures:
 
     def partials(self) -> DataFrame:
         """The kept partials of the buckets that the manifest names."""
-        live = sorted(r.bucket for r in self._kept("manifest"))
+        live = sorted(r.bucket for r in self._kept())
         schema = "user_id string, event_type string, n_events bigint, last_ts timestamp_ntz, total_tokens bigint, n_with_action bigint, bucket date"
         if not live:
             return self.spark.createDataFrame([], schema)

@@ -107,3 +107,13 @@ def test_empty(spark, types, tmp_path):
     assert store.refresh(spark.createDataFrame([], SCHEMA), types) == []
     assert store.features().count() == 0
     assert EntityFeatures.by_entity(store.features()).count() == 0
+
+
+def test_another_table_under_the_same_name(spark, types, tmp_path):
+    a = [row(f"e{i}", "u", "A_ONE", T0 + dt.timedelta(days=i)) for i in range(30)]
+    b = [row(f"x{i}", "v", "B_TWO", T0 + dt.timedelta(days=i), arrived=T0 + dt.timedelta(days=min(29, i + 1))) for i in range(30)]
+    store = EntityFeatures(spark, str(tmp_path / "s"))
+    store.refresh(spark.createDataFrame(a, SCHEMA), types)
+    assert store.refresh(spark.createDataFrame(b, SCHEMA), types) and got(store.features()) == brute(b)
+    spark.createDataFrame([(dt.date(2024, 1, 1), 3)], "bucket date, n bigint").write.mode("overwrite").parquet(str(tmp_path / "s" / "manifest"))
+    assert store.refresh(spark.createDataFrame(a, SCHEMA), types) and got(store.features()) == brute(a)

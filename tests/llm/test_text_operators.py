@@ -1,6 +1,7 @@
 import math
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -338,6 +339,33 @@ def test_damage_that_lost_bytes(spark):
     assert {r.doc_id for r in mojibake.find(df, "doc_id", "text").collect()} == set(got)
 
 
+def test_margin_from_every_record(spark):
+    """Each record is held out once, and all its tokens count in all wrong decodings: computed here one by one."""
+    rows = [(i, " ".join(CLEAN[i % 7].split()[i % 3 : i % 3 + 3])) for i in range(48)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    part = {r.doc_id: r.p for r in df.selectExpr("doc_id", "pmod(xxhash64(doc_id), 8) AS p").collect()}
+    good, bad = [], []
+    for k in set(part.values()):
+        count = lambda inside: Counter(t for i, s in rows if (part[i] == k) == inside for t in mojibake.tokens(s))  # noqa: B023, E731
+        model = mojibake.Model.of(count(False))
+        for t, n in count(True).items():
+            made = []
+            for true in mojibake.TRUE:
+                for w in mojibake.WRONG:
+                    try:
+                        made += [x] if w != true and (x := t.encode(true).decode(w)) != t else []
+                    except UnicodeError:
+                        continue
+            gains = {x: mojibake.best(model, x)[0] for x in made}
+            good.append((mojibake.best(model, t)[0], n))
+            bad += [(gains[x], n / len(made)) for x in made]
+    marks = [m / 10 for m in range(20, 121)]
+    cost = [5 * sum(n for g, n in good if g > m) + sum(n for g, n in bad if g <= m) for m in marks]
+    least = [m for m, c in zip(marks, cost) if c < min(cost) + 0.001]
+    words = mojibake.vocabulary(mojibake.occurrences(df, "doc_id", "text").checkpoint(), "doc_id")
+    assert mojibake.train(words, rounds=1)[1] == pytest.approx((least[0] + least[-1]) / 2)
+
+
 # -- copies: long keys and hot groups ---------------------------------------------------------------------------
 
 
